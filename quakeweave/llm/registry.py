@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["packing", "mixing"]
+MODULES = ["packing", "mixing", "jaccard"]
 
 
 def collected() -> tuple[dict, dict]:
