@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["packing", "mixing", "jaccard"]
+MODULES = ["quality", "mixing", "jaccard", "packing"]
 
 
 def collected() -> tuple[dict, dict]:
