@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["quality", "mixing", "jaccard", "syncmers", "packing"]
+MODULES = ["quality", "mixing", "jaccard", "syncmers", "packing", "licenses"]
 
 
 def collected() -> tuple[dict, dict]:
