@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["quality", "mixing", "jaccard", "syncmers", "packing", "licenses", "surrogates"]
+MODULES = ["quality", "mixing", "jaccard", "syncmers", "packing", "licenses", "surrogates", "suffixes"]
 
 
 def collected() -> tuple[dict, dict]:
