@@ -185,7 +185,7 @@ def radix_groups(keys: np.ndarray, bodies: list[bytes], rolling: Rolling, depth:
         value = np.zeros(len(alive), np.uint64)
         value[real] = rolling.at(sums, place[alive][real] + at, length)
         for k in np.flatnonzero(~real):  # a window sent by its hashes
-            value[k] = np.frombuffer(bodies[of[alive[k]]], np.uint64)[at > 0]
+            value[k] = np.frombuffer(bodies[of[alive[k]]], np.uint64)[int(at > 0)]
         name = mix(group[alive] * M3 + value)
         order = np.argsort(name)
         s = name[order]
