@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["lines", "quality", "mixing", "suffixes", "jaccard", "syncmers", "packing", "licenses", "surrogates"]
+MODULES = ["lines", "quality", "mixing", "katz", "suffixes", "jaccard", "syncmers", "packing", "licenses", "surrogates"]
 
 
 def collected() -> tuple[dict, dict]:
