@@ -1 +1 @@
-
+"""quakeweave: earthquake relocation and training-data operators on Spark."""

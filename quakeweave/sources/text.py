@@ -22,6 +22,11 @@ def _files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame
     return reader.text(path).select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("content"))
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def _lines(files: DataFrame, comments: str = "#%") -> DataFrame:
     """(file, line_no, fields): the fields of lines that are not blank once comments are cut; commas part fields as spaces do."""
     lines = files.select("file", F.posexplode(F.split("content", r"\r?\n")).alias("line_no", "line"))
@@ -160,7 +165,7 @@ def load_theta_folder(spark: SparkSession, theta_dir: str, std_dir: str = "") ->
     groups = rows.select("file").distinct().withColumn("group_idx", F.dense_rank().over(Window.partitionBy(F.lit(0)).orderBy("file")))  # a row per file
     rows = rows.join(groups, "file").select("group_idx", "station", "phase", "event_id", "theta_s", "ref_id")
     nan = F.lit(float("nan"))
-    if not std_dir:
+    if not std_dir or not _exists(spark, std_dir):
         return rows.withColumns({"sigma": nan, "degree": F.lit(0).cast("long"), "has_sigma": F.lit(False), "has_degree": F.lit(False)})
     std = read_std_folder(spark, std_dir)
     flags = std.groupBy("station", "phase").agg(F.lit(True).alias("hs"), F.max("has_degree").alias("hd"))
