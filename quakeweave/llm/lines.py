@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quakeweave.llm._common import NULL_ID, keyed, table, written
+from quakeweave.llm._common import NULL_ID, keyed, parts, table, written
 from quakeweave.llm.hashing import M3, mix, small
 
 SHORTEST = 20
@@ -81,6 +81,30 @@ def _fetched(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     return rows.select("h", F.struct("did", "uid", "pos").alias("first"), "line").dropDuplicates(["h"])
 
 
+def _shared(halves: DataFrame) -> DataFrame:
+    """h of the lines that share a half with another line; sorted by half and h, of which only the last group's ends are held."""
+
+    def run(batches):
+        held = None  # the last row's half and h, and its group's first h
+        for batch in batches:
+            half, h = batch.column("half").to_numpy(), batch.column("h").to_numpy()
+            if not len(half):
+                continue
+            new = np.ones(len(half), bool)
+            new[1:] = half[1:] != half[:-1]
+            first = h[np.maximum.accumulate(np.where(new, np.arange(len(half)), 0))]
+            other = np.zeros(len(half), bool)
+            other[1:] = ~new[1:] & (h[1:] != h[:-1])
+            if held is not None and held[0] == half[0]:
+                here = np.cumsum(new) == 1
+                first = np.where(here, held[2], first)
+                other[0] = h[0] != held[1]
+            held = (half[-1], h[-1], first[-1])
+            yield pa.record_batch([pa.array(np.unique(np.concatenate([h[other], first[other]])))], ["h"])
+
+    return halves.mapInArrow(run, "h long").distinct()
+
+
 def variant_hashes(line: str) -> tuple[int, np.ndarray]:
     """(hash of the line, hash of the line less each code point)."""
     c = mix(np.frombuffer(line.encode("utf-32-le"), np.uint32).astype(np.uint64) + M3)
@@ -130,11 +154,10 @@ def removed_lines(docs: DataFrame, shortest: int = SHORTEST) -> DataFrame:
     """(did, uid, removed): the places, from 0, of the lines to remove from each document that has any."""
     texts = keyed(docs)
     lines = written(_lines(texts, shortest), "lines")
-    firsts = lines.groupBy("h").agg(F.min(F.struct("did", "uid", "pos")).alias("first"), F.count("*").alias("n"), F.first("halves").alias("halves"))
+    firsts = lines.groupBy("h").agg(F.min(F.struct("did", "uid", "pos")).alias("first"), F.count("*").alias("n"))
     firsts = written(firsts, "firsts")
-    halves = firsts.select("h", F.explode(F.array_distinct("halves")).alias("half"))
-    shared = halves.groupBy("half").agg(F.count("*").alias("n")).filter("n > 1").select("half")
-    possible = halves.join(shared, "half").select("h").distinct()
+    halves = lines.select("h", F.explode(F.array_distinct("halves")).alias("half"))
+    possible = _shared(halves.repartition(parts(docs.sparkSession), "half").sortWithinPartitions("half", "h"))
     chosen = written(_fetched(texts, firsts.select("h", "first").join(possible, "h")), "possible")
     near = written(_near(chosen), "near").withColumn("near", F.lit(True))
     again = firsts.select("h", "first", "n").join(near, "h", "left").filter("n > 1 or near").select("h", "first", F.coalesce("near", F.lit(False)).alias("near"))
