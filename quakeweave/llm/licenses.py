@@ -4,7 +4,8 @@ A unit is a line of a text, or the whole text if it has several lines (unit 0).
 normalised words (letters and digits, in lower case) give a set of word bigrams;
 Dice is twice the common bigrams over the sum of both sets' sizes.  A template whose
 set is so much smaller or larger than the unit's that the coefficient could not reach
-the threshold is not compared.  Only DataFrame functions are used.
+the threshold is not compared, and a unit without any of the words that every likely
+match must share is not normalised at all.  Only DataFrame functions are used.
 
 A null, empty or one-word unit has no bigrams and no result.  Equal lines are reported
 by line, equal rows by row.  An empty table gives no rows.
@@ -13,6 +14,7 @@ by line, equal rows by row.  An empty table gives no rows.
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,11 +50,32 @@ TEMPLATES = (
 )
 
 
+#: Words that are in most texts.
+COMMON = ("a", "and", "at", "be", "by", "for", "in", "is", "of", "or", "that", "the", "this", "to", "with")
+
+
 def template_bigrams(text: str) -> list[str]:
     w = re.findall(r"[a-z0-9]+", text.lower())
     return sorted({f"{a} {b}" for a, b in zip(w, w[1:], strict=False)})
 
 
+def needed_words(bigrams: list[str], percent: int) -> set[str]:
+    """Words of which a unit that reaches the threshold has at least one, the longest that will do, common ones last.
+
+    Such a unit has percent / (200 - percent) of the template's bigrams at least, so it misses so few that it has
+    one of any larger number of them; words are added until that many bigrams hold one of them.
+    """
+    spare = len(bigrams) - -(-len(bigrams) * percent // (200 - percent))
+    out, left = set(), set(bigrams)
+    for word in sorted({w for b in bigrams for w in b.split()}, key=lambda w: (w in COMMON, -len(w), w)):
+        if len(bigrams) - len(left) > spare:
+            break
+        if any(word in b.split() for b in left):
+            out.add(word)
+            left = {b for b in left if word not in b.split()}
+    return out
+
+
 def _bigrams(unit: Column) -> Column:
     w = F.filter(F.split(F.lower(unit), r"[^\p{L}\p{N}]+"), lambda x: x != "")
     return let(w, lambda a: F.array_distinct(F.transform(F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0))), lambda x, i: F.concat_ws(" ", x, F.get(a, i + 1)))))
@@ -64,9 +87,15 @@ def scan(docs: DataFrame, templates=TEMPLATES, percent: int = PERCENT) -> DataFr
     least = min(len(b) for _, b in known) * percent // (200 - percent)
     most = max(len(b) for _, b in known) * (200 - percent) // percent + 1
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    lines = F.split(text, "\n")
-    units = F.when(F.size(lines) > 1, F.concat(F.array(text), lines)).otherwise(F.concat(F.array(F.lit("")), lines))
-    rows = docs.select("doc_id", F.posexplode(units).alias("unit", "_text"))
+    lines = F.split("text", "\n")
+    units = F.when(F.size(lines) > 1, F.concat(F.array("text"), lines)).otherwise(F.concat(F.array(F.lit("")), lines))
+    words = sorted(set().union(*(needed_words(b, percent) for _, b in known)))
+    words = [w for w in words if not any(v in w for v in words if v != w)]  # a part of a word is found wherever the word is
+
+    def may_have(column: str) -> Column:
+        return let(F.lower(F.col(column)), lambda low: reduce(lambda a, w: a | F.contains(low, F.lit(w)), words[1:], F.contains(low, F.lit(words[0]))))
+
+    rows = docs.select("doc_id", text.alias("text")).filter(may_have("text")).select("doc_id", F.posexplode(units).alias("unit", "_text")).filter(may_have("_text"))
     rows = rows.select("doc_id", F.col("unit").cast("long").alias("unit"), _bigrams(F.col("_text")).alias("_b")).withColumn("n_bigrams", F.size("_b").cast("long"))
     rows = rows.filter(F.col("n_bigrams").between(least, most))
     n = F.col("n_bigrams")
