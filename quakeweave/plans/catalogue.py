@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quakeweave.functions import calendar, geo, robust
-from quakeweave.operators import compare, graph, knn, observations
+from quakeweave.operators import bias, compare, constraints, graph, knn, observations, solver, traveltime, uncertainty
+from quakeweave.plans import pipeline
+from quakeweave.plans.config import default_config
 from quakeweave.sources import views
 
 DEGREE = 2
@@ -244,3 +246,144 @@ def catalog_event_errors(spark, d):
 @query()
 def catalog_metrics(spark, d):
     return compare.compare_catalogs(views.catalog_tight(spark, d), views.truth(spark, d))
+
+
+def _frame_stations(spark, d):
+    x, y = geo.local_xy(F.col("lat"), F.col("lon"), 35.7, -117.7)
+    return views.stations(spark, d).select("station", x.alias("x_m"), y.alias("y_m"), (-F.col("elev_m")).alias("z_m"))
+
+
+def _predicted(spark, d):
+    return solver.weighted(solver.predicted(_star(spark, d), views.points(spark, d), _frame_stations(spark, d), traveltime.ConstantModel()), 0.002, 1.345)
+
+
+_PRED = _STAR + f""",
+st AS (SELECT station, {_X} AS sx, {_Y} AS sy, -elev_m AS sz FROM stations),
+v AS (SELECT s.*, a.x AS ax, a.y AS ay, a.z AS az, b.x AS bx, b.y AS by_, b.z AS bz, sx, sy, sz, CASE WHEN phase = 'P' THEN 6000.0::DOUBLE ELSE 3464.0::DOUBLE END AS v
+      FROM star s JOIN points a ON a.event_id = s.i JOIN points b ON b.event_id = s.j JOIN st ON st.station = s.station),
+ra AS (SELECT *, sqrt((ax - sx) * (ax - sx) + (ay - sy) * (ay - sy) + (az - sz) * (az - sz)) AS da, sqrt((bx - sx) * (bx - sx) + (by_ - sy) * (by_ - sy) + (bz - sz) * (bz - sz)) AS db FROM v),
+pr AS (SELECT *, da / v - db / v AS pred, dt - (da / v - db / v) AS r, greatest(sigma, 0.002::DOUBLE) AS sg FROM ra),
+w AS (SELECT *, CASE WHEN abs(r / sg) <= 1.345 THEN 1.0::DOUBLE ELSE 1.345::DOUBLE / abs(r / sg) END / (sg * sg) AS w FROM pr)
+"""
+
+
+@query(_PRED + "SELECT i, j, station, phase, round(pred, 6) AS pred, round(r, 6) AS r, round(w, 3) AS w FROM w")
+def predicted_residuals(spark, d):
+    return _predicted(spark, d).select("i", "j", "station", "phase", r6("pred", "pred"), r6("r", "r"), F.round("w", 3).alias("w"))
+
+
+@query(_PRED + """,
+e AS (SELECT i AS ev, w, r, (ax - sx) / (v * da) AS gx, (ay - sy) / (v * da) AS gy, (az - sz) / (v * da) AS gz, 1.0::DOUBLE AS g FROM w
+      UNION ALL SELECT j, w, r, -(bx - sx) / (v * db), -(by_ - sy) / (v * db), -(bz - sz) / (v * db), -1.0::DOUBLE FROM w)
+SELECT ev AS event_id, round(sum(w * gx * gx), 6) AS xx, round(sum(w * gx * gz), 6) AS xz, round(sum(w * g * g), 3) AS tt, round(sum(w * r * gy), 3) AS ry, round(sum(w * r * g), 3) AS rt FROM e GROUP BY ev
+""")
+def normal_blocks(spark, d):
+    b = solver.blocks(_predicted(spark, d)).filter("a = b")
+    return b.select(F.col("a").alias("event_id"), r6("m00", "xx"), r6("m02", "xz"), F.round("m33", 3).alias("tt"), F.round("r1", 3).alias("ry"), F.round("r3", 3).alias("rt"))
+
+
+@query(_PRED + "SELECT least(i, j) AS a, greatest(i, j) AS b, round(sum(-w * (ax - sx) / (v * da) * (bx - sx) / (v * db)), 6) AS xx, round(sum(-w), 3) AS tt FROM w GROUP BY 1, 2")
+def pair_blocks(spark, d):
+    b = solver.blocks(_predicted(spark, d)).filter("a <> b")
+    return b.select("a", "b", r6("m00", "xx"), F.round("m33", 3).alias("tt"))
+
+
+@query(_STAR + ", f AS (SELECT group_idx, dense_rank() OVER (ORDER BY group_idx) AS k FROM (SELECT DISTINCT group_idx FROM star)) SELECT k AS block, count(*) AS n, round(sum(dt), 5) AS total FROM star JOIN f USING (group_idx) GROUP BY k")
+def bootstrap_blocks(spark, d):
+    b = uncertainty.bootstrap_blocks(_star(spark, d))
+    return b.groupBy(F.col("block").cast("long").alias("block")).agg(F.count("*").alias("n"), F.round(F.sum("dt"), 5).alias("total"))
+
+
+@query(_STAR + ", f AS (SELECT station, dense_rank() OVER (ORDER BY g) AS k FROM (SELECT station, min(group_idx) AS g FROM star GROUP BY station)) SELECT s.i, s.j, s.station, s.phase FROM star s JOIN f USING (station), generate_series(1, k % 3) t")
+def bootstrap_resample(spark, d):
+    b = uncertainty.bootstrap_blocks(_star(spark, d), "station")
+    counts = b.select("block").distinct().select("block", (F.col("block") % 3).alias("times")).filter("times > 0")
+    return uncertainty.resampled(b, counts).select("i", "j", "station", "phase")
+
+
+@query(_KNN + "," + _DD + "," + _STAR + """,
+comp AS (SELECT event_id, 0 AS k FROM catalog),
+deg AS (SELECT v, count(*) AS n FROM (SELECT i AS v FROM cand UNION ALL SELECT j FROM cand) GROUP BY v),
+pd AS (SELECT v, count(*) AS n FROM (SELECT i AS v FROM (SELECT DISTINCT i, j FROM dd) UNION ALL SELECT j FROM (SELECT DISTINCT i, j FROM dd)) GROUP BY v),
+sc AS (SELECT v, count(*) AS n FROM (SELECT i AS v FROM star UNION ALL SELECT j FROM star) GROUP BY v),
+dc AS (SELECT v, count(*) AS n FROM (SELECT i AS v FROM dd UNION ALL SELECT j FROM dd) GROUP BY v)
+SELECT c.event_id, coalesce(deg.n, 0) AS geometry_degree, coalesce(pd.n, 0) AS dd_pair_degree, coalesce(sc.n, 0) AS prelocation_observations, coalesce(dc.n, 0) AS dd_observations, CASE WHEN sc.n > 0 THEN 1 ELSE 0 END AS prelocation_used, CASE WHEN dc.n > 0 THEN 1 ELSE 0 END AS relocation_used
+FROM catalog c LEFT JOIN deg ON deg.v = c.event_id LEFT JOIN pd ON pd.v = c.event_id LEFT JOIN sc ON sc.v = c.event_id LEFT JOIN dc ON dc.v = c.event_id
+""")
+def graph_metadata(spark, d):
+    catalog, edges = views.catalog(spark, d), _candidates(spark, d)
+    nodes = graph._degrees(catalog, edges).join(graph.graph_components(catalog, edges), "event_id")
+    out = graph.graph_metadata(catalog, nodes, _star(spark, d), _dd(spark, d))
+    return out.select(F.col("EventID").alias("event_id"), "geometry_degree", "dd_pair_degree", "prelocation_observations", "dd_observations", "prelocation_used", "relocation_used")
+
+
+@query("SELECT event_id, round(CASE WHEN z < 4000.0 THEN 2 * 4500.0::DOUBLE - z ELSE z END, 6) AS z, z < 4000.0 AS violates FROM points")
+def reflected_depths(spark, d):
+    config = default_config()
+    config["constraints"]["depth_bound"] |= {"enabled": True, "minimum_depth_km": 4.0, "mirror_plane": "manual", "mirror_depth_km": 4.5}
+    state = views.points(spark, d)
+    bad = constraints.violations(state, config).select("event_id", F.lit(True).alias("v"))
+    out = state.withColumn("z", F.when(~constraints.feasible(F.col("z"), config), 2 * constraints.mirror_plane(views.stations(spark, d), config) - F.col("z")).otherwise(F.col("z")))
+    return out.join(bad, "event_id", "left").select("event_id", r6("z", "z"), F.coalesce("v", F.lit(False)).alias("violates"))
+
+
+@query(_STAR + """,
+act AS (SELECT DISTINCT v FROM (SELECT i AS v FROM star UNION ALL SELECT j FROM star) WHERE v % 3 <> 0)
+SELECT p.event_id, round(CASE WHEN act.v IS NULL THEN 0 ELSE 1.5::DOUBLE END, 6) AS dx_m, round(CASE WHEN act.v IS NULL THEN 0 ELSE -2.0::DOUBLE END, 6) AS dz_m, round(CASE WHEN act.v IS NULL THEN 0 ELSE 0.25::DOUBLE END, 6) AS dt0_s FROM points p LEFT JOIN act ON act.v = p.event_id
+""")
+def cumulative_shift(spark, d):
+    before = views.points(spark, d)
+    after = before.select("event_id", (F.col("x") + 1.5).alias("x"), "y", (F.col("z") - 2.0).alias("z"), F.lit(0.25).alias("t0"))
+    active = observations.event_activity(_star(spark, d)).filter("event_id % 3 <> 0")
+    return pipeline.cumulative_shift(None, before, after, active).select("event_id", r6("dx_m", "dx_m"), r6("dz_m", "dz_m"), r6("dt0_s", "dt0_s"))
+
+
+@query("""
+b AS (SELECT station, phase, event_id, theta_s - 0.001::DOUBLE * x AS theta_s FROM theta JOIN points USING (event_id) WHERE station = 'R1' AND phase = 'P')
+SELECT t.station, t.phase, t.event_id, round(coalesce(b.theta_s, t.theta_s), 6) AS theta_s FROM theta t LEFT JOIN b ON b.station = t.station AND b.phase = t.phase AND b.event_id = t.event_id
+""")
+def bias_applied(spark, d):
+    model = spark.createDataFrame([("R1", "P", 0.001, 0.0, 0.0)], "station string, phase string, ax double, ay double, az double")
+    t = bias.apply_bias(views.theta(spark, d), model, views.points(spark, d))
+    return t.select("station", "phase", "event_id", r6("theta_s", "theta_s"))
+
+
+@query("""
+s AS (SELECT t.event_id, t.theta_s AS v FROM theta t WHERE t.station = 'R0'),
+g AS (SELECT event_id, count(*) AS n_valid, median(v) AS c, quantile_cont(v, 0.025) AS lo, quantile_cont(v, 0.975) AS hi, var_samp(v) AS cov FROM s GROUP BY event_id)
+SELECT event_id, n_valid, round(c, 9) AS center, round(lo, 9) AS lower, round(hi, 9) AS upper, round(cov, 6) AS cov FROM g
+""")
+def bootstrap_summary(spark, d):
+    t = views.theta(spark, d).filter("station = 'R0'")
+    samples = t.select(F.lit(1).alias("replicate"), "event_id", F.col("theta_s").alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("z"))
+    nominal = t.select("event_id").distinct().select("event_id", *[F.lit(0.0).alias(a) for a in "xyz"])
+    out = uncertainty.bootstrap_summary(samples, nominal, nominal, 10, default_config()["uncertainty"]["bootstrap"])
+    cov = F.when(~F.isnan("cov_xx_m2"), F.round("cov_xx_m2", 6))
+    return out.select("event_id", "n_valid", F.round("center_dx_m", 9).alias("center"), F.round("lower_dx_m", 9).alias("lower"), F.round("upper_dx_m", 9).alias("upper"), cov.alias("cov"))
+
+
+@query()
+def relocation(spark, d):
+    """Stage 1 over the star observations with a few outer iterations."""
+    options = default_config()["prelocation"] | {"max_outer_iterations": 3}
+    state, _ = solver.relocate(views.points(spark, d), _frame_stations(spark, d), _star(spark, d), traveltime.ConstantModel(), options)
+    return state
+
+
+@query()
+def theta_bias_scan(spark, d):
+    options = default_config()["experimental"]["bias"] | {"minimum_observations": 5}
+    return bias.scan_theta_bias(_star(spark, d), views.points(spark, d), _frame_stations(spark, d), traveltime.ConstantModel(), options)
+
+
+@query()
+def graph_augmented(spark, d):
+    config = default_config()["graph"] | {"neighbors": 4, "maximum_degree": 3, "ensure_connected": True, "augmentation": {"enabled": True, "candidate_neighbors": 12, "add_edges": 20, "add_edges_per_event": 0.0, "maximum_added_per_event": 3, "power_iterations": 5}}
+    edges, _ = graph.build_event_graph(views.points(spark, d), views.catalog(spark, d), config)
+    return edges
+
+
+@query()
+def linearized_uncertainty(spark, d):
+    options = default_config()
+    return uncertainty.linearized(views.points(spark, d), _frame_stations(spark, d), _star(spark, d), traveltime.ConstantModel(), options["prelocation"], options["uncertainty"]["linearized"] | {"probes": 2})

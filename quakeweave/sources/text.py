@@ -16,10 +16,10 @@ TOO_LARGE = 9007199254740992.0
 
 
 def _files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
-    reader = spark.read.option("wholetext", True)
+    reader = spark.read
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    return reader.text(path).select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("content"))
+    return reader.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("content"))
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
