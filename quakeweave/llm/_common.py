@@ -9,71 +9,20 @@ documents, and each such row gets that document's result.
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quakeweave.sources.storage import drop, shared_folder, written  # noqa: F401
+
 #: What separates words: space, tab, line feed, vertical tab, form feed, return.
 SPACES = r"[\x20\x09-\x0D]+"
 NULL_ID = (1 << 63) - 1
 
-_written: list[tuple[SparkSession, str]] = []
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; a local one only where that is unset (tests)."""
-    sc = spark.sparkContext
-    folder = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='quakeweave-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage: write df to the shared folder and read it again.
-
-    The table survives the loss of any executor.  It goes when the application ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    if not _written:
-        atexit.register(_drop_written)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop(df: DataFrame) -> None:
-    """Delete what written() stored for df, once nothing reads it any more."""
-    for name in df.inputFiles()[:1]:
-        for entry in list(_written):
-            if entry[1].split("://")[-1] in name:
-                _delete(*entry)
-                _written.remove(entry)
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def _drop_written() -> None:
-    for spark, path in _written:
-        try:
-            _delete(spark, path)
-        except Exception:  # the session is gone; the shared folder is the cluster's to clean
-            return
-
-
 def keyed(docs: DataFrame, *more: str) -> DataFrame:
     """(did, uid, text, *more): the columns that operators work on."""
     return docs.select(

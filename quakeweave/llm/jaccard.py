@@ -8,6 +8,10 @@ domain is dealt into k+1 partitions by hash: some partition has no difference at
 (with as many partitions as differences plus one, the enumerated subsets are single
 partitions), so the two sets share the signature (band, partition, its shingles).
 
+Each set also carries parity bits, 64 with its signatures and 1024 where components are
+compared, of which each shingle flips one; two sets that differ in more bits than similar
+sets may differ in elements are never paired (the rest is tested on the sets themselves).
+
 Equal sets are one class from the start, however many documents hold them.  Within a
 signature's group only (first member, member) is tested; then components are formed,
 and only where a group spans several components are the pairs between those tested,
@@ -20,26 +24,30 @@ class.  An empty table gives no rows.
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quakeweave.llm._common import NULL_ID, drop, parts, table, written
-from quakeweave.llm.components import components
+from quakeweave.operators.components import components
 from quakeweave.llm.hashing import M3, WordHasher, flat_words, mix, shingles, small
 
 SHINGLE, PERCENT = 5, 80
 BAND = 1.35
 SALT = np.uint64(0x5851F42D4C957F2D)
+WIDE = 16
 
 
-def bands(top: int) -> np.ndarray:
-    """Least size of each band up to top."""
+def bands(top: int, percent: int) -> np.ndarray:
+    """Least size of each band up to top; a band is wide enough that similar sets are in the same or the next one."""
+    ratio = max(BAND, 100 / percent)
     out = [1]
     while out[-1] <= top:
-        out.append(max(out[-1] + 1, math.ceil(out[-1] * BAND)))
+        out.append(max(out[-1] + 1, math.ceil(out[-1] * ratio)))
     return np.array(out, np.int64)
 
 
@@ -50,14 +58,14 @@ def differences(largest: np.ndarray, percent: int) -> np.ndarray:
 
 def signatures(doc: np.ndarray, h: np.ndarray, sizes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """(set number, 64-bit signature) of every set; doc, h as from shingles()."""
-    edge = bands(2 * int(sizes.max(initial=1)) + 10)  # the band after the largest set whole, in every batch alike
+    edge = bands(4 * int(sizes.max(initial=1)) + 10, percent)  # the band after the largest set whole, in every batch alike
     own = np.searchsorted(edge, sizes, "right") - 1
     out_doc, out_sig = [], []
     for ahead in (0, 1):
         band = own + ahead
-        band_low = edge[np.minimum(band, len(edge) - 1)]
-        takes = (sizes > 0) & (band < len(edge)) & ((ahead == 0) | (100 * sizes >= percent * band_low))
-        high = np.where(band + 1 < len(edge), edge[np.minimum(band + 1, len(edge) - 1)] - 1, np.ceil(band_low * BAND).astype(np.int64))
+        band_low = edge[band]
+        takes = (sizes > 0) & ((ahead == 0) | (100 * sizes >= percent * band_low))
+        high = edge[band + 1] - 1
         n = np.where(takes, differences(high, percent) + 1, 0)
         first = np.cumsum(n) - n
         total = int(n.sum())
@@ -83,8 +91,16 @@ def digests(doc: np.ndarray, h: np.ndarray, n: int) -> tuple[np.ndarray, np.ndar
     return a, b
 
 
+def parity(doc: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
+    """WIDE words of 64 bits for each set, each shingle flipping one bit: two sets differ in no more bits than elements."""
+    out = np.zeros(n * WIDE, np.uint64)
+    at = (mix(h + SALT) & np.uint64(64 * WIDE - 1)).astype(np.int64)
+    np.bitwise_xor.at(out, doc * WIDE + at // 64, np.uint64(1) << (at % 64).astype(np.uint64))
+    return out.view(np.int64).reshape(n, WIDE)
+
+
 def _sets(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """did, n_shingles, h (the set's digest; null if empty), sigs (null unless this task meets the set first)."""
+    """did, n_shingles, h (the set's digest; null if empty), bits and wide (its parity, folded and whole), sigs (empty unless this task meets the set first)."""
 
     def run(batches):
         hasher, seen = WordHasher(), set()
@@ -105,31 +121,62 @@ def _sets(docs: DataFrame, n: int, percent: int) -> DataFrame:
             order = np.argsort(of, kind="stable")
             offsets = np.searchsorted(of[order], np.arange(k + 1))
             sigs = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(sig[order].view(np.int64)))
-            yield pa.record_batch([batch.column("did"), pa.array(sizes.astype(np.int64)), pa.array(names, pa.binary()), sigs], ["did", "n_shingles", "h", "sigs"])
+            bits = parity(doc, h, k)
+            wide = pa.ListArray.from_arrays(pa.array(np.arange(0, WIDE * k + 1, WIDE), pa.int32()), pa.array(bits.ravel()))
+            yield pa.record_batch([batch.column("did"), pa.array(sizes.astype(np.int64)), pa.array(names, pa.binary()), pa.array(np.bitwise_xor.reduce(bits, axis=1)), wide, sigs], ["did", "n_shingles", "h", "bits", "wide", "sigs"])
 
-    return docs.mapInArrow(run, "did long, n_shingles long, h binary, sigs array<long>")
+    return docs.mapInArrow(run, "did long, n_shingles long, h binary, bits long, wide array<long>, sigs array<long>")
+
+
+def _can_link(n: Column, m: Column, x: Column, y: Column, percent: int) -> Column:
+    """Whether sets of these sizes and parities may be similar enough; only false where they are not."""
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (F.bit_count(x.bitwiseXOR(y)) * (100 + percent) <= (n + m) * (100 - percent))
 
 
 def _groups(signed: DataFrame) -> DataFrame:
-    """(sig, first, h): members of the groups with two sets or more, with the group's first; sorted input, one row held."""
+    """(sig, h, n, bits, first, first_n, first_bits): members of the groups of two sets or more, with the group's first.
+
+    The input is sorted by sig and h; of a group that goes on in the next batch only its first and last are held.
+    """
 
     def run(batches):
-        last_sig, first, last_h, shown = None, None, None, False
+        held = None  # sig, h, n, bits of the last group's first; its last h; whether the first was given
         for batch in batches:
-            out = ([], [], [])
-            put = lambda s, f, h, out=out: [c.append(v) for c, v in zip(out, (s, f, h), strict=True)]
-            for sig, h in zip(batch.column("sig").to_pylist(), batch.column("h").to_pylist(), strict=True):
-                if sig != last_sig:
-                    last_sig, first, last_h, shown = sig, h, h, False
-                elif h != last_h:
-                    if not shown:
-                        put(sig, first, first)
-                        shown = True
-                    put(sig, first, h)
-                    last_h = h
-            yield pa.record_batch([pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary())], ["sig", "first", "h"])
-
-    return signed.mapInArrow(run, "sig long, first binary, h binary")
+            k = batch.num_rows
+            if not k:
+                continue
+            sig = batch.column("sig").to_numpy()
+            flat = batch.column("h")
+            h = np.frombuffer(flat.buffers()[2], np.uint64)[2 * flat.offset : 2 * (flat.offset + k)].reshape(-1, 2)
+            n, bits = batch.column("n").to_numpy(), batch.column("bits").to_numpy()
+            goes_on = held is not None and held[0] == sig[0]
+            new = np.ones(k, bool)
+            new[1:] = sig[1:] != sig[:-1]
+            start = np.maximum.accumulate(np.where(new, np.arange(k), 0))
+            first = [h[start].copy(), n[start].copy(), bits[start].copy()]
+            other = np.zeros(k, bool)
+            other[1:] = ~new[1:] & (h[1:] != h[:-1]).any(1)
+            if goes_on:
+                here = start == 0
+                first[0][here], first[1][here], first[2][here] = held[1], held[2], held[3]
+                other[0] = bool((h[0] != held[4]).any())
+            firsts = np.unique(start[other])  # groups whose first is to be given as well
+            if goes_on and held[5]:
+                firsts = firsts[firsts != 0]
+            rows = np.flatnonzero(other)
+            give_h, give_n, give_bits = np.concatenate([first[0][firsts], h[rows]]), np.concatenate([first[1][firsts], n[rows]]), np.concatenate([first[2][firsts], bits[rows]])
+            of = np.concatenate([firsts, rows])
+            if len(of):
+                blob = lambda x: pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(x), [None, pa.py_buffer(np.ascontiguousarray(x).tobytes())]).cast(pa.binary())
+                yield pa.record_batch(
+                    [pa.array(sig[of]), blob(give_h), pa.array(give_n), pa.array(give_bits), blob(first[0][of]), pa.array(first[1][of]), pa.array(first[2][of])],
+                    ["sig", "h", "n", "bits", "first", "first_n", "first_bits"],
+                )
+            last = int(start[-1])
+            carried = goes_on and last == 0
+            held = (int(sig[-1]), first[0][-1].copy(), int(first[1][-1]), int(first[2][-1]), h[-1].copy(), bool(other[last:].any()) or (carried and held[5]))
+
+    return signed.mapInArrow(run, "sig long, h binary, n long, bits long, first binary, first_n long, first_bits long")
 
 
 def _set_blobs(docs: DataFrame, n: int) -> DataFrame:
@@ -172,21 +219,25 @@ def classes(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFr
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("did"), F.col("text").cast("string").alias("text"))
     sets = written(_sets(docs, n, percent), "sets")
     reps = sets.filter("h is not null").groupBy("h").agg(F.min("did").alias("did"))
-    signed = sets.filter("sigs is not null").select(F.explode("sigs").alias("sig"), "h")
+    signed = sets.select(F.explode("sigs").alias("sig"), "h", F.col("n_shingles").alias("n"), "bits")
     groups = written(_groups(signed.repartition(parts(spark), "sig").sortWithinPartitions("sig", "h")), "groups")
     members = written(groups.select("h").distinct().join(reps, "h"), "members")
     blobs = written(
         _set_blobs(docs.join(members.select("did").distinct(), "did").select("text"), n).join(members, "h", "left_semi").dropDuplicates(["h"]), "blobs"
     )
-    pairs = groups.filter("h <> first").select(F.col("first").alias("u"), F.col("h").alias("v")).distinct()
+    c = F.col
+    pairs = groups.filter((c("h") != c("first")) & _can_link(c("n"), c("first_n"), c("bits"), c("first_bits"), percent)).select(F.col("first").alias("u"), F.col("h").alias("v")).distinct()
     links = written(_linked(pairs, blobs, percent), "links")
     comps = written(components(links), "components")
     # pairs between the components that a group spans
-    named = groups.select("sig", "h", "first").distinct().join(comps.withColumnRenamed("node", "h"), "h", "left").withColumn("c", F.coalesce("component", "h")).select("sig", "h", "first", "c")
+    named = groups.join(comps.withColumnRenamed("node", "h"), "h", "left").withColumn("c", F.coalesce("component", "h")).select("sig", "h", "n", "bits", "first", "c")
     mixed = named.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("sig")
-    mixed = written(named.join(mixed, "sig"), "mixed")
+    wide = sets.filter(F.size("sigs") > 0).dropDuplicates(["h"]).select("h", *[F.get("wide", F.lit(k)).alias(f"w{k}") for k in range(WIDE)])
+    mixed = written(named.join(mixed, "sig").join(wide, "h"), "mixed")
+    apart = reduce(add, [F.bit_count(c(f"a.w{k}").bitwiseXOR(c(f"b.w{k}"))) for k in range(WIDE)])
+    near = apart * (100 + percent) <= (c("a.n") + c("b.n")) * (100 - percent)
     a, b = mixed.alias("a"), mixed.alias("b")
-    more = a.join(b, (F.col("a.sig") == F.col("b.sig")) & (F.col("a.h") < F.col("b.h")) & (F.col("a.c") != F.col("b.c")) & (F.col("a.h") != F.col("a.first")))
+    more = a.join(b, (F.col("a.sig") == F.col("b.sig")) & (F.col("a.h") < F.col("b.h")) & (F.col("a.c") != F.col("b.c")) & (F.col("a.h") != F.col("a.first")) & _can_link(c("a.n"), c("b.n"), c("a.bits"), c("b.bits"), percent) & near)
     more = more.select(F.col("a.h").alias("u"), F.col("b.h").alias("v")).distinct()
     late = written(_linked(more, blobs, percent), "links")
     if not late.isEmpty():
