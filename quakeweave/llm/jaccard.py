@@ -226,18 +226,24 @@ def classes(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFr
         _set_blobs(docs.join(members.select("did").distinct(), "did").select("text"), n).join(members, "h", "left_semi").dropDuplicates(["h"]), "blobs"
     )
     c = F.col
-    pairs = groups.filter((c("h") != c("first")) & _can_link(c("n"), c("first_n"), c("bits"), c("first_bits"), percent)).select(F.col("first").alias("u"), F.col("h").alias("v")).distinct()
+    wide = sets.filter(F.size("sigs") > 0).join(members, "h", "left_semi").dropDuplicates(["h"]).select("h", *[F.get("wide", F.lit(k)).alias(f"w{k}") for k in range(WIDE)])
+    wide = written(wide, "wide")
+
+    def near(a: str, b: str, n: str, m: str) -> Column:
+        apart = reduce(add, [F.bit_count(c(f"{a}w{k}").bitwiseXOR(c(f"{b}w{k}"))) for k in range(WIDE)])
+        return apart * (100 + percent) <= (c(n) + c(m)) * (100 - percent)
+
+    pairs = groups.filter((c("h") != c("first")) & _can_link(c("n"), c("first_n"), c("bits"), c("first_bits"), percent)).select(c("first").alias("u"), c("h").alias("v"), "first_n", "n").distinct()
+    pairs = pairs.join(wide.toDF("u", *[f"u_w{k}" for k in range(WIDE)]), "u").join(wide.toDF("v", *[f"v_w{k}" for k in range(WIDE)]), "v")
+    pairs = pairs.filter(near("u_", "v_", "first_n", "n")).select("u", "v")
     links = written(_linked(pairs, blobs, percent), "links")
     comps = written(components(links), "components")
     # pairs between the components that a group spans
     named = groups.join(comps.withColumnRenamed("node", "h"), "h", "left").withColumn("c", F.coalesce("component", "h")).select("sig", "h", "n", "bits", "first", "c")
     mixed = named.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("sig")
-    wide = sets.filter(F.size("sigs") > 0).dropDuplicates(["h"]).select("h", *[F.get("wide", F.lit(k)).alias(f"w{k}") for k in range(WIDE)])
     mixed = written(named.join(mixed, "sig").join(wide, "h"), "mixed")
-    apart = reduce(add, [F.bit_count(c(f"a.w{k}").bitwiseXOR(c(f"b.w{k}"))) for k in range(WIDE)])
-    near = apart * (100 + percent) <= (c("a.n") + c("b.n")) * (100 - percent)
     a, b = mixed.alias("a"), mixed.alias("b")
-    more = a.join(b, (F.col("a.sig") == F.col("b.sig")) & (F.col("a.h") < F.col("b.h")) & (F.col("a.c") != F.col("b.c")) & (F.col("a.h") != F.col("a.first")) & _can_link(c("a.n"), c("b.n"), c("a.bits"), c("b.bits"), percent) & near)
+    more = a.join(b, (F.col("a.sig") == F.col("b.sig")) & (F.col("a.h") < F.col("b.h")) & (F.col("a.c") != F.col("b.c")) & (F.col("a.h") != F.col("a.first")) & _can_link(c("a.n"), c("b.n"), c("a.bits"), c("b.bits"), percent) & near("a.", "b.", "a.n", "b.n"))
     more = more.select(F.col("a.h").alias("u"), F.col("b.h").alias("v")).distinct()
     late = written(_linked(more, blobs, percent), "links")
     if not late.isEmpty():
