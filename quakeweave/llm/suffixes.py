@@ -13,8 +13,10 @@ after the last pass are exactly the repeated windows.
 * The runs left are sent, with their bytes, to their buckets.  There the later passes
   part each bucket by successive digits of ``DIGIT`` bytes, compared by 64-bit hashes:
   two different windows would have to agree in the bucket and in every digit's hash.
-* A bucket of more than ``HOT`` runs is dealt further, by the whole window, before it is
-  sent, so that no task holds an unbounded bucket.
+* Runs with equal bytes are held once, however many there are, and the runs of a periodic
+  stretch as one.  A bucket of more than ``HOT`` of these is dealt further before it is sent: by the bytes that ``STEP`` neighbouring
+  suffixes have in common, and one of more than ``STEP`` times ``HOT`` by whole windows, of
+  which only one is held.  So a task holds at most ``STEP`` times ``HOT`` short runs.
 
 A null or empty text has no bytes.  Windows may overlap and repeat within a document;
 they never cross documents.  Rows equal in doc_id and text count as separate
@@ -25,13 +27,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quakeweave.llm._common import NULL_ID, keyed, parts, table, written
 from quakeweave.llm.hashing import M3, mix
 
-DEPTH, GRAM, DIGIT, HOT = 400, 128, 200, 10_000
+DEPTH, GRAM, DIGIT, HOT, STEP = 400, 128, 200, 10_000, 34
 #: Bytes of text that are hashed at a time; longer texts are taken in overlapping segments.
 SEGMENT = 2 << 20
 _BYTES = mix((np.arange(256, dtype=np.uint64) + np.uint64(1)) * M3)
@@ -97,7 +100,10 @@ def _gathered(segments, most: int = SEGMENT):
 
 
 def _runs(texts: DataFrame, depth: int, gram: int) -> DataFrame:
-    """(did, uid, key, first, n): runs of suffixes that share their least gram."""
+    """(did, uid, key, first, n, gram, leads): runs of suffixes that share their least gram, and where it stands.
+
+    In periodic text a run follows another of the same key; only the first of such a row leads.
+    """
 
     def run(batches):
         rolling = Rolling()
@@ -114,83 +120,76 @@ def _runs(texts: DataFrame, depth: int, gram: int) -> DataFrame:
                 new[1:] = (least[good][1:] != least[good][:-1]) | (owner[good][1:] != owner[good][:-1])
                 at = np.flatnonzero(new)
                 first = good[at]
-                of = owner[first]
+                of, key = owner[first], g[least[first]]
+                leads = np.ones(len(key), bool)
+                leads[1:] = (key[1:] != key[:-1]) | (of[1:] != of[:-1])
                 yield pa.record_batch(
                     [
                         pa.array(np.array([x[0] for x in held], np.int64)[of]), pa.array(np.array([x[1] for x in held], np.int64)[of]),
-                        pa.array(g[least[first]].view(np.int64)), pa.array(first - start[of] + np.array([x[2] for x in held], np.int64)[of]),
-                        pa.array(np.diff(np.append(at, len(good))).astype(np.int32)),
+                        pa.array(key.view(np.int64)), pa.array(first - start[of] + np.array([x[2] for x in held], np.int64)[of]),
+                        pa.array(np.diff(np.append(at, len(good))).astype(np.int32)), pa.array(least[first] - start[of] + np.array([x[2] for x in held], np.int64)[of]), pa.array(leads),
                     ],
-                    ["did", "uid", "key", "first", "n"],
+                    ["did", "uid", "key", "first", "n", "gram", "leads"],
                 )
 
-    return texts.mapInArrow(run, "did long, uid long, key long, first long, n int")
+    return texts.mapInArrow(run, "did long, uid long, key long, first long, n int, gram long, leads boolean")
 
 
 def _bodies(chosen: DataFrame, depth: int) -> DataFrame:
-    """(key, did, uid, first, body): a run's bytes, or for hot buckets one window's two hashes, dealt by the first."""
+    """(key, did, uid, first, body): a run's bytes; with a step, parted and dealt by what step suffixes have in common."""
 
     def run(batches):
-        rolling = Rolling()
         for batch in batches:
-            out = ([], [], [], [], [])
-            size = 0
+            out, size = tuple([] for _ in _BODY), 0
             for did, uid, text, runs in zip(*(batch.column(c) for c in ("did", "uid", "text", "runs")), strict=True):
                 data = text.as_buffer()
                 joined: list[dict] = []  # in periodic text each suffix has a gram of its own, all alike: their bytes are sent once
                 for r in sorted(runs.as_py(), key=lambda r: r["first"]):
-                    if joined and r["key"] == joined[-1]["key"] and r["first"] == joined[-1]["first"] + joined[-1]["n"]:
+                    if joined and not r["step"] and r["key"] == joined[-1]["key"] and r["first"] == joined[-1]["first"] + joined[-1]["n"]:
                         joined[-1]["n"] += r["n"]
                     else:
                         joined.append(r)
                 for r in joined:
-                    body = data[r["first"] : r["first"] + r["n"] + depth - 1].to_pybytes()
-                    if r["hot"]:
-                        sums = rolling.sums(np.frombuffer(body, np.uint8))
-                        a, b = rolling.at(sums, None, depth), rolling.at(rolling.sums(np.frombuffer(body[::-1], np.uint8)), None, depth)[::-1]
-                        rows = [(int(x), r["first"] + k, np.array([x, y], np.int64).tobytes()) for k, (x, y) in enumerate(zip(a.view(np.int64), b.view(np.int64), strict=True))]
-                    else:
-                        rows = [(r["key"], r["first"], body)]
-                    for key, first, body in rows:
-                        for column, value in zip(out, (key, did.as_py(), uid.as_py(), first, body), strict=True):
+                    first, last, gram, step = r["first"], r["first"] + r["n"] - 1, r["gram"], r["step"]
+                    rows = [] if step else [(r["key"], first, last)]
+                    for d in range((gram - last) // step, (gram - first) // step + 1) if step else ():
+                        high = gram - d * step  # the last suffix of this part, if the run holds it
+                        common = data[high : high - step + 1 + depth].to_pybytes()
+                        rows.append((xxhash.xxh3_64_intdigest(common, (r["key"] + d) & (1 << 63) - 1) - (1 << 63), max(first, high - step + 1), min(last, high)))
+                    for key, lo, hi in rows:
+                        body = data[lo : hi + depth].to_pybytes()
+                        for column, value in zip(out, (key, did.as_py(), uid.as_py(), lo, body), strict=True):
                             column.append(value)
                         size += len(body)
                     if size > SEGMENT:
                         yield pa.record_batch([pa.array(c, t) for c, t in zip(out, _BODY_TYPES, strict=True)], _BODY)
-                        out, size = ([], [], [], [], []), 0
+                        out, size = tuple([] for _ in _BODY), 0
             yield pa.record_batch([pa.array(c, t) for c, t in zip(out, _BODY_TYPES, strict=True)], _BODY)
 
-    return chosen.mapInArrow(run, "key long, did long, uid long, first long, body binary")
+    return chosen.mapInArrow(run, _BODY_SCHEMA)
 
 
 _BODY, _BODY_TYPES = ["key", "did", "uid", "first", "body"], [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+_BODY_SCHEMA = "key long, did long, uid long, first long, body binary"
 
 
-def radix_groups(keys: np.ndarray, bodies: list[bytes], rolling: Rolling, depth: int, digit: int) -> tuple[np.ndarray, np.ndarray]:
-    """(body number, offset) of every suffix of depth bytes that equals another of the same key."""
+def radix_groups(keys: np.ndarray, bodies: list[bytes], times: np.ndarray, rolling: Rolling, depth: int, digit: int) -> tuple[np.ndarray, np.ndarray]:
+    """(body number, offset) of every suffix of depth bytes that equals another of the same key; times tells how often a body stands."""
     sizes = np.array([len(b) for b in bodies], np.int64)
-    whole = sizes >= depth
-    counts = np.where(whole, sizes - depth + 1, 1)
+    counts = sizes - depth + 1
     start = np.cumsum(sizes) - sizes
     of = np.repeat(np.arange(len(bodies)), counts)
     offset = np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts)
-    place = start[of] + offset
+    place, again = start[of] + offset, (times > 1)[of]
     group = mix(keys.view(np.uint64))[of]
-    data = np.frombuffer(b"".join(bodies), np.uint8)
-    sums = rolling.sums(data)
+    sums = rolling.sums(np.frombuffer(b"".join(bodies), np.uint8))
     alive = np.arange(len(of))
     for at in range(0, depth, digit):
-        length = min(digit, depth - at)
-        real = whole[of[alive]]
-        value = np.zeros(len(alive), np.uint64)
-        value[real] = rolling.at(sums, place[alive][real] + at, length)
-        for k in np.flatnonzero(~real):  # a window sent by its hashes
-            value[k] = np.frombuffer(bodies[of[alive[k]]], np.uint64)[int(at > 0)]
-        name = mix(group[alive] * M3 + value)
+        name = mix(group[alive] * M3 + rolling.at(sums, place[alive] + at, min(digit, depth - at)))
         order = np.argsort(name)
         s = name[order]
         same = s[1:] == s[:-1]
-        keep = np.zeros(len(s), bool)
+        keep = again[alive][order]
         keep[1:] |= same
         keep[:-1] |= same
         group[alive] = name
@@ -201,31 +200,34 @@ def radix_groups(keys: np.ndarray, bodies: list[bytes], rolling: Rolling, depth:
 
 
 def _spans(sent: DataFrame, depth: int, digit: int) -> DataFrame:
-    """(did, uid, start, end) of bytes covered by repeated windows; input sorted by key."""
+    """(did, uid, start, end) of bytes covered by repeated windows; input sorted by key and body."""
 
-    def work(rolling, keys, dids, uids, firsts, bodies):
-        of, offset = radix_groups(np.array(keys, np.int64), bodies, rolling, depth, digit)
-        p = np.array(firsts, np.int64)[of] + offset
-        new = np.ones(len(p), bool)
-        new[1:] = (of[1:] != of[:-1]) | (p[1:] != p[:-1] + 1)
+    def work(rolling, keys, bodies, owners):
+        of, offset = radix_groups(np.array(keys, np.int64), bodies, np.array([len(o) for o in owners]), rolling, depth, digit)
+        new = np.ones(len(of), bool)
+        new[1:] = (of[1:] != of[:-1]) | (offset[1:] != offset[:-1] + 1)
         at = np.flatnonzero(new)
-        ends = p[np.append(at[1:], len(p)) - 1] + depth if len(p) else p
-        return pa.record_batch([pa.array(np.array(dids, np.int64)[of[at]]), pa.array(np.array(uids, np.int64)[of[at]]), pa.array(p[at]), pa.array(ends)], ["did", "uid", "start", "end"])
+        lo, hi = offset[at], offset[np.append(at[1:], len(of)) - 1] + depth if len(of) else offset
+        rows = [(did, uid, first + a, first + b) for k, a, b in zip(of[at].tolist(), lo.tolist(), hi.tolist(), strict=True) for did, uid, first in owners[k]]
+        return pa.record_batch([pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else ((), (), (), ()))], ["did", "uid", "start", "end"])
 
     def run(batches):
         rolling = Rolling()
-        held, size, last = ([], [], [], [], []), 0, None
+        keys, bodies, owners, size = [], [], [], 0
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in _BODY), strict=True):
-                if row[0] != last and size > SEGMENT:
-                    yield work(rolling, *held)
-                    held, size = ([], [], [], [], []), 0
-                last = row[0]
-                size += len(row[4])
-                for column, value in zip(held, row, strict=True):
-                    column.append(value)
-        if held[0]:
-            yield work(rolling, *held)
+            for key, did, uid, first, body in zip(*(batch.column(c).to_pylist() for c in _BODY), strict=True):
+                if keys and key == keys[-1] and body == bodies[-1]:
+                    owners[-1].append((did, uid, first))
+                    continue
+                if keys and key != keys[-1] and size > SEGMENT:
+                    yield work(rolling, keys, bodies, owners)
+                    keys, bodies, owners, size = [], [], [], 0
+                keys.append(key)
+                bodies.append(body)
+                owners.append([(did, uid, first)])
+                size += len(body)
+        if keys:
+            yield work(rolling, keys, bodies, owners)
 
     return sent.mapInArrow(run, "did long, uid long, start long, end long")
 
@@ -238,10 +240,11 @@ def repeated_spans(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM, digit:
 
 def _repeated(spark, texts: DataFrame, depth: int, gram: int, digit: int, hot: int) -> DataFrame:
     runs = written(_runs(texts, depth, gram), "runs")
-    buckets = runs.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key", (F.col("c") > hot).alias("hot"))
-    chosen = runs.join(buckets, "key").groupBy("did", "uid").agg(F.collect_set(F.struct("first", "n", "key", "hot")).alias("runs"))
+    step = F.when(F.col("led") <= hot, 0).when(F.col("led") <= STEP * hot, STEP).otherwise(1)
+    buckets = runs.groupBy("key").agg(F.count("*").alias("c"), F.count_if("leads").alias("led")).filter("c > 1").select("key", step.alias("step"))
+    chosen = runs.join(buckets, "key").groupBy("did", "uid").agg(F.collect_set(F.struct("first", "n", "gram", "key", "step")).alias("runs"))
     sent = _bodies(texts.join(chosen, ["did", "uid"]), depth)
-    return _spans(sent.repartition(parts(spark), "key").sortWithinPartitions("key"), depth, digit)
+    return _spans(sent.repartition(parts(spark), "key").sortWithinPartitions("key", "body"), depth, digit)
 
 
 def without_repeats(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM, digit: int = DIGIT, hot: int = HOT) -> DataFrame:
