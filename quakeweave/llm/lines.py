@@ -121,28 +121,57 @@ def variant_hashes(line: str) -> tuple[int, np.ndarray]:
 
 
 def _neighbourhood(lines: DataFrame) -> DataFrame:
-    """(key, role, first, h): role 0 the line itself, 1 a variant, 2 a variant together with its place."""
+    """(key, role, h): role 0 the line itself, 1 a variant, 2 a variant together with its place."""
 
     def run(batches):
         for batch in batches:
-            for k in range(batch.num_rows):
-                row = batch.slice(k, 1)
-                own, less = variant_hashes(row.column("line")[0].as_py())
+            keys, roles, owners, size = [], [], [], 0
+            for h, line in zip(batch.column("h").to_pylist(), batch.column("line").to_pylist(), strict=True):
+                own, less = variant_hashes(line)
                 alike = np.unique(less)
                 placed = mix(less.view(np.uint64) * M3 + np.arange(1, len(less) + 1, dtype=np.uint64)).view(np.int64)
-                keys = np.concatenate([[own], alike, placed]).astype(np.int64)
-                roles = np.repeat(np.array([0, 1, 2], np.int8), [1, len(alike), len(placed)])
-                take = pa.array(np.zeros(len(keys), np.int32))
-                yield pa.record_batch([pa.array(keys), pa.array(roles), row.column("first").take(take), row.column("h").take(take)], ["key", "role", "first", "h"])
+                keys += [np.array([own]), alike, placed]
+                roles.append(np.repeat(np.array([0, 1, 2], np.int8), [1, len(alike), len(placed)]))
+                owners.append(np.full(1 + len(alike) + len(placed), h))
+                size += len(owners[-1])
+                if size > 1 << 17:
+                    yield pa.record_batch([pa.array(np.concatenate(c)) for c in (keys, roles, owners)], ["key", "role", "h"])
+                    keys, roles, owners, size = [], [], [], 0
+            if size:
+                yield pa.record_batch([pa.array(np.concatenate(c)) for c in (keys, roles, owners)], ["key", "role", "h"])
 
-    return lines.mapInArrow(run, "key long, role byte, first struct<did:long,uid:long,pos:int>, h long")
+    return lines.select("h", "line").mapInArrow(run, "key long, role byte, h long")
+
+
+def _met(rows: DataFrame) -> DataFrame:
+    """The rows whose key another row has as well; sorted by key, of which only the last row is held."""
+
+    def run(batches):
+        held = None  # the last row of the batch before, and whether it was given
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = pa.Table.from_batches([held[0], batch] if held else [batch]).combine_chunks()
+            key = rows.column("key").to_numpy()
+            same = key[1:] == key[:-1]
+            keep = np.zeros(len(key), bool)
+            keep[1:] |= same
+            keep[:-1] |= same
+            if held and held[1]:
+                keep[0] = False
+            last = bool(keep[-1]) or bool(held and held[1] and len(key) == 1)
+            held = (batch.slice(batch.num_rows - 1), last)
+            yield from rows.filter(pa.array(keep)).to_batches()
+
+    return rows.mapInArrow(run, "key long, role byte, h long")
 
 
 def _near(lines: DataFrame) -> DataFrame:
     """h of the lines within one edit of an earlier one."""
-    rows = _neighbourhood(lines)
+    rows = _neighbourhood(lines).repartition(parts(lines.sparkSession), "key").sortWithinPartitions("key")
+    rows = written(_met(rows).join(lines.select("h", "first"), "h"), "met")
     me, role = F.struct("first", "h"), F.col("role")
-    least = rows.groupBy("key").agg(*[F.min(F.when(role == r, me)).alias(f"m{r}") for r in (0, 1, 2)], F.count("*").alias("n")).filter("n > 1").drop("n")
+    least = rows.groupBy("key").agg(*[F.min(F.when(role == r, me)).alias(f"m{r}") for r in (0, 1, 2)])
     other = F.when(role == 0, F.col("m1")).when(role == 1, F.col("m0")).otherwise(F.col("m2"))
     found = rows.join(least, "key").select("h", "first", other.alias("o")).filter(F.col("o.first") < F.col("first"))
     pairs = found.select("h", F.col("o.h").alias("oh")).distinct()
