@@ -39,15 +39,25 @@ SURNAMES = {
 KINDS = ("email", "key", "secret", "card", "phone", "ip", "person")
 _NAMES = "|".join(n for names in GIVEN.values() for n in names)
 BRANCHES = {
-    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "key": r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b|\b(?:ghp|gho|sk|pk)[_-][A-Za-z0-9]{16,}\b",
-    "secret": r"\b(?=[0-9a-fA-F]*[0-9])(?=[0-9a-fA-F]*[a-fA-F])[0-9a-fA-F]{32,64}\b",
+    "secret": r"\b(?=[0-9a-fA-F]{32})(?=[0-9a-fA-F]*[0-9])(?=[0-9a-fA-F]*[a-fA-F])[0-9a-fA-F]{32,64}\b",
     "card": r"(?<![\d.])(?:\d{4}[ -]?){3}\d{4}(?![\d.]\d)(?!\d)",
     "phone": r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[.-])\d{3}[.-]\d{4}(?!\d)",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?![\d.]*\d)",
-    "person": rf"(?<!\p{{L}})(?:{_NAMES}) \p{{Lu}}\p{{L}}+(?!\p{{L}})",
+    "person": rf"(?=\p{{Lu}})(?<!\p{{L}})(?:{_NAMES}) \p{{Lu}}\p{{L}}+(?!\p{{L}})",
 }
-PATTERN = "|".join(f"(?:{BRANCHES[k]})" for k in KINDS)
+#: An entity starts with one of these characters, whatever branch it is of.
+PATTERN = r"(?=[A-Za-z0-9._%+(\p{Lu}-])(?:" + "|".join(f"(?:{BRANCHES[k]})" for k in KINDS) + ")"
+
+
+#: Without a digit or an at sign only these can be there.
+OF_LETTERS = f"(?:{BRANCHES['key']})|(?:{BRANCHES['person']})"
+
+
+def has_entity(text: Column) -> Column:
+    """Whether PATTERN is found in a text."""
+    return F.coalesce(F.when(text.rlike("[0-9@]"), text.rlike(PATTERN)).otherwise(text.rlike(OF_LETTERS)), F.lit(False))
 
 
 def kind_of(value: Column) -> Column:
@@ -153,7 +163,7 @@ def distinct_surrogates(values: DataFrame, key: str) -> DataFrame:
 def mentions(docs: DataFrame) -> DataFrame:
     """doc_id, uid, place, kind, value: every entity of every text, in order."""
     found = F.posexplode(F.regexp_extract_all("text", F.lit(PATTERN), 0)).alias("place", "value")
-    rows = docs.filter(F.col("text").rlike(PATTERN)).select("doc_id", F.xxhash64("doc_id", "text").alias("uid"), found)
+    rows = docs.filter(has_entity(F.col("text"))).select("doc_id", F.xxhash64("doc_id", "text").alias("uid"), found)
     return rows.select("doc_id", "uid", "place", kind_of(F.col("value")).alias("kind"), "value")
 
 
@@ -164,7 +174,7 @@ def replaced(docs: DataFrame, key: str = "surrogates") -> DataFrame:
     values = written(found.select("kind", "value").distinct(), "values")
     drawn = distinct_surrogates(values, key)
     by_doc = found.dropDuplicates(["uid", "place"]).join(drawn, ["kind", "value"]).groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("place", "surrogate"))).alias("_s"))
-    has = F.coalesce(F.col("text").rlike(PATTERN), F.lit(False))
+    has = has_entity(F.col("text"))
     touched = docs.filter(has).withColumn("_uid", F.xxhash64("doc_id", "text")).join(by_doc.withColumnRenamed("uid", "_uid"), "_uid")
     between = F.split("text", PATTERN)
     text = F.concat(F.array_join(F.zip_with(F.slice(between, 1, F.size("_s")), F.col("_s.surrogate"), lambda a, b: F.concat(a, b)), ""), F.element_at(between, -1))
