@@ -1,9 +1,11 @@
 """Line dedup by a deletion-neighbourhood join.
 
 Lines are compared in normal form: A-Z in lower case, words parted by one space.  A
-line of ``SHORTEST`` code points or more is removed if an earlier line, in order of
-doc_id and place, is within one edit (insertion, deletion or substitution of a code
-point) of it, an earlier line that is itself removed included; shorter lines stay.
+line that is not blank is removed if an earlier line, in order of doc_id and place, is
+equal to it, whatever its length.  A line of ``SHORTEST`` code points or more is also
+removed if an earlier line of as many is within one edit (insertion, deletion or
+substitution of a code point) of it, an earlier line that is itself removed included.
+Blank lines part paragraphs and stay.
 
 Equal lines are found by hash and represented by their first occurrence.  For the rest
 each line emits the hashes of its deletion neighbourhood: itself, and itself less the
@@ -48,15 +50,15 @@ def _halves(line: str) -> list[int]:
 
 
 def _lines(texts: DataFrame, shortest: int) -> DataFrame:
-    """(did, uid, pos, h, halves) of the lines that are not short."""
+    """(did, uid, pos, h, halves) of the lines that are not blank; short ones have no halves."""
 
     def run(batches):
         for batch in small(batches):
             out = ([], [], [], [], [])
             for did, uid, text in zip(*(batch.column(c).to_pylist() for c in ("did", "uid", "text")), strict=True):
                 for pos, line in enumerate((text or "").split("\n")):
-                    if len(line) >= shortest and len(line := normal(line)) >= shortest:
-                        for column, value in zip(out, (did, uid, pos, _hash(line), _halves(line)), strict=True):
+                    if line := normal(line):
+                        for column, value in zip(out, (did, uid, pos, _hash(line), _halves(line) if len(line) >= shortest else []), strict=True):
                             column.append(value)
             yield pa.record_batch([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64())), strict=True)], ["did", "uid", "pos", "h", "halves"])
 

@@ -56,6 +56,13 @@ def test_lines(docs, rows):
     assert sum(bool(r["_removed"]) for r in got.collect()) == sum(n for k, n in originals.items() if (k[0], k[1] or "") in want)
 
 
+def test_lines_short_copies(spark):
+    texts = ["Wh the.\n\nWh the.\nEnd\n\nEnds", "wh  THE.\nend", "Wh the", "\n \n"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["text"], list(r["_removed"])) for r in lines.deduplicated(df).collect()}
+    assert got == {0: ("Wh the.\n\nEnd\n\nEnds", [2]), 1: ("", [0, 1]), 2: ("Wh the", []), 3: ("\n \n", [])}
+
+
 def test_quality(docs, rows):
     def brute(t):
         w, seen, cover = words(t), Counter(), set()
