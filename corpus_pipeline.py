@@ -21,8 +21,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines within one edit of an earlier line go, and documents of which no word is left by that."""
-    out = lines.deduplicated(docs)
+    """Lines equal or near to an earlier line go, and documents of which no word is left by that."""
+    out = lines.deduplicated(docs, edits=lines.EDITS)
     return out.filter((F.size("_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(*docs.columns)
 
 

@@ -63,6 +63,32 @@ def test_lines_short_copies(spark):
     assert got == {0: ("Wh the.\n\nEnd\n\nEnds", [2]), 1: ("", [0, 1]), 2: ("Wh the", []), 3: ("\n \n", [])}
 
 
+def _distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_lines_some_edits_apart(spark):
+    rng = np.random.default_rng(5)
+    word = lambda n: "".join(rng.choice(list("abcdefgh"), n))
+    base = [[word(rng.integers(2, 9)) for _ in range(n)] for n in (12, 20, 30, 31, 45, 90)]
+    texts = [" ".join(w) for w in base]
+    for w in base:
+        for at in rng.integers(0, len(w), 4):  # one word replaced
+            texts.append(" ".join([*w[:at], word(rng.integers(4, 8)), *w[at + 1 :]]))
+        texts.append(" ".join(w[: len(w) // 2] + [word(30)] + w[len(w) // 2 :]))  # too far
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"] for r in lines.deduplicated(df, edits=lines.EDITS).collect() if r["_removed"]}
+    bound = lambda a, b: max(1, min(lines.EDITS, min(len(a), len(b)) // lines.EVERY))
+    want = {j for j, b in enumerate(texts) if any(_distance(a, b) <= bound(a, b) for a in texts[:j])}
+    assert len(want) >= 15 and got <= want
+    assert len(got) >= 0.9 * len(want)
+
+
 def test_quality(docs, rows):
     def brute(t):
         w, seen, cover = words(t), Counter(), set()
