@@ -221,8 +221,8 @@ def test_suffixes(docs, rows, hot):
     assert form((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in got) == form((r[0], *brute(t)) for r, t in zip(rows, texts, strict=True))
 
 
-@pytest.mark.parametrize(("n", "percent"), [(3, 90), (5, 80), (1, 60)])
-def test_jaccard(docs, rows, n, percent):
+@pytest.mark.parametrize(("n", "percent", "hot"), [(3, 90, jaccard.HOT), (5, 80, jaccard.HOT), (1, 60, jaccard.HOT), (3, 90, 2)])
+def test_jaccard(docs, rows, n, percent, hot):
     def shingles(t):
         w = (t or "").encode().lower().split()
         return frozenset(tuple(w[i : i + n]) for i in range(max(len(w) - n + 1, 0))) or (frozenset([tuple(w)]) if w else frozenset())
@@ -243,22 +243,39 @@ def test_jaccard(docs, rows, n, percent):
     for i, (d, _) in enumerate(sets):
         least[root(i)] = min(d, least.get(root(i), LAST))
     want = sorted((d, len(s), least[root(i)]) for i, (d, s) in enumerate(sets))
-    got = jaccard.near_duplicates(docs, n, percent).collect()
-    assert sorted((key(r["doc_id"]), r["n_shingles"], key(r["component_id"])) for r in got) == want
+    got = jaccard.classes(docs, n, percent, hot).collect()
+    last = lambda d: LAST if d == jaccard.NULL_ID else d
+    assert sorted((last(r["did"]), r["n_shingles"], last(r["first"]["did"])) for r in got) == want
 
 
-def test_jaccard_small_differences_meet():
-    """Sets within the bound share a signature, whatever they differ in."""
+def test_first_of_each_class(spark):
+    """Rows that share a doc_id or have none are told apart by their texts."""
+    a, b, c = (" ".join(f"{x}{k}" for k in range(60)) for x in "abc")
+    rows = [(5, a, 1), (90, b, 1), (90, a, 1), (None, c, 1), (None, a, 1), (None, c, 1), (7, "", 2), (8, None, 3), (8, None, 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, uid int")
+    got = sorted((key(r["doc_id"]), r["text"] or "", r["uid"]) for r in jaccard.first_of_each(df).collect())
+    assert got == sorted([(5, a, 1), (90, b, 1), (LAST, c, 1), (7, "", 2), (8, "", 3)])
+    ids = sorted((key(r["doc_id"]), key(r["component_id"])) for r in jaccard.near_duplicates(df).collect())
+    assert ids == sorted([(5, 5), (90, 90), (90, 5), (LAST, LAST), (LAST, 5), (LAST, LAST), (7, 7), (8, 8), (8, 8)])
+
+
+@pytest.mark.parametrize("percent", [90, 80, 60])
+def test_jaccard_small_differences_meet(percent):
+    """Similar sets share a signature, whatever they differ in, those with empty subsets included."""
     rng = np.random.default_rng(5)
-    for size in (1, 5, 9, 12, 40, 300):
-        h = rng.integers(0, 1 << 63, 2 * size, dtype=np.uint64)
-        for drop in range(size // 10 + 1):
-            a, b = np.sort(h[:size]), np.sort(np.concatenate([h[: size - drop], h[size : size + drop // 2]]))
-            if 100 * (size - drop) < 90 * (size + drop // 2):
+    tried = 0
+    for size in (*range(1, 60), 120, 300):
+        for _ in range(8):
+            h = rng.integers(0, 1 << 63, 2 * size, dtype=np.uint64)
+            drop = int(rng.integers(0, size * (100 - percent) // 50 + 2))
+            gain = int(rng.integers(0, size * (100 - percent) // 50 + 2))
+            a, b = np.sort(h[:size]), np.sort(np.concatenate([h[: size - drop], h[size : size + gain]]))
+            if drop + gain == 0 or 100 * (size - drop) < percent * (size + gain):
                 continue
-            doc = np.repeat([0, 1], [len(a), len(b)])
-            of, sig = jaccard.signatures(doc, np.concatenate([a, b]), np.array([len(a), len(b)]), 90)
+            tried += 1
+            of, sig = jaccard.signatures(np.repeat([0, 1], [len(a), len(b)]), np.concatenate([a, b]), np.array([len(a), len(b)]), percent)
             assert set(sig[of == 0]) & set(sig[of == 1])
+    assert tried > 50
 
 
 def test_syncmers(docs, rows):
