@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quakeweave.llm._common import NULL_ID, drop, keyed, parts, table, unkeyed, written
+from quakeweave.llm._common import NULL_ID, chosen, drop, keyed, parts, table, unkeyed, written
 from quakeweave.llm.hashing import M3, WordHasher, flat_words, mix, shingles, small
 from quakeweave.operators.components import components
 
@@ -256,7 +256,8 @@ def _linked(pairs: DataFrame, members: DataFrame, docs: DataFrame, n: int, perce
 
     pairs = written(pairs, "pairs")
     need = pairs.select(F.col("u").alias("h")).union(pairs.select(F.col("v").alias("h"))).distinct().join(members.select("h", "rep"), "h")
-    texts = written(docs.join(need.select("h", "rep.did", "rep.uid"), ["did", "uid"]).select("h", "text").dropDuplicates(["h"]), "texts")
+    need = written(need.select("h", "rep.did", "rep.uid"), "need")
+    texts = written(chosen(docs, need).select("h", "text").dropDuplicates(["h"]), "texts")
     left, right = texts.select(F.col("h").alias("u"), F.col("text").alias("x")), texts.select(F.col("h").alias("v"), F.col("text").alias("y"))
     out = written(pairs.join(right, "v").join(left, "u").mapInArrow(run, "u binary, v binary"), "links")
     drop(pairs)
@@ -327,7 +328,7 @@ def _between(groups: DataFrame, comps: DataFrame, members: DataFrame, docs: Data
     large = rows.filter(F.col("size") > hot).select("sig", "h")
     if again and not large.isEmpty():
         wanted = large.select("h").distinct().join(members.select("h", "rep"), "h").select("rep.did", "rep.uid")
-        more = _signed(docs.join(wanted, ["did", "uid"]), n, percent, 1).withColumnRenamed("sig", "more")
+        more = _signed(chosen(docs, wanted), n, percent, 1).withColumnRenamed("sig", "more")
         parted = written(_groups(_spelt(large).join(more, ["a", "b"]).select(F.xxhash64("sig", "more").alias("sig"), "a", "b")), "parted")
         pairs = pairs.union(_between(parted, comps, members, docs, n, percent, hot, False)).distinct()
     return pairs
