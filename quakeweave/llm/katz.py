@@ -8,17 +8,18 @@ histories with backoff weights that make every distribution sum to one exactly:
              = a(h) P(w | h less its first)    otherwise
 
 and P(w) = d(c) c(w) / N for a word seen, the whole remaining mass for one word that
-stands for all others.  Where the counts of counts give no valid Good-Turing discount,
-absolute discounting with n1 / (n1 + 2 n2) is used; a history whose discounts leave
-nothing counts one more event, so that unseen words never get probability 0.
-
-The model is two tables, written partitioned by the hash of their key: ``words`` (word,
-its probability and, as a history, its backoff weight) and ``pairs`` (h, w, P(w | h)).
-A text's score is the sum over its tokens, each evaluated by the recursion.  In a sum
-the recursion parts into addends by key: every token adds log P(w) and its history's
-log a(h), and a seen pair corrects that by log P(w | h) - log a(h) - log P(w).  So
-tokens are looked up by single keys, in documents' counts of each key, and no document
-or history is gathered whole.
+stands for all others.  The counts of counts are smoothed as in simple Good-Turing, by a
+power law through the numbers of n-grams seen 1 .. ``FIT`` times, whose exponent is held
+at ``FLATTEST`` or steeper; from such counts every Katz factor lies between 0 and 1.  A
+history none of whose counts is discounted counts one more event, so that unseen words
+never get probability 0.
+
+The model is two tables: ``words`` (word, its count and probability and, as a history,
+its total and backoff weight) and ``pairs`` (h, w, count).  A text's score is the sum over
+its tokens, each evaluated by the recursion, in documents' counts of each pair and word;
+no document or history is gathered whole.  All pairs of a document that was learnt from
+are in the model, so one that is not among the pairs seen twice or more was seen once, and
+only the other documents' pairs are looked up among all.
 
 Null and empty texts are the end alone.  Rows equal in doc_id and text are scored once
 for each and count once each in training.  An empty training set gives every word the
@@ -27,15 +28,17 @@ one remaining mass, 1 (score 0).
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quakeweave.llm._common import NULL_ID, keyed, table, written
+from quakeweave.llm._common import NULL_ID, keyed, parts, table, written
 from quakeweave.llm.hashing import M3, WordHasher, flat_words, mix, small
 
-K = 5
+K, FIT, FLATTEST = 5, 10, -1.1
 FOLDS, HELD = 7, 2
 #: Hash keys of the text's edges.
 START, END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
@@ -51,53 +54,57 @@ def _counted(doc: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return d[at], order[at], np.diff(np.append(at, len(d))).astype(np.int32)
 
 
-def _lists(of: np.ndarray, n: int, columns: dict[str, np.ndarray]) -> pa.ListArray:
-    rows = pa.StructArray.from_arrays([pa.array(c if c.dtype == np.int32 else c.view(np.int64)) for c in columns.values()], list(columns))
-    return pa.ListArray.from_arrays(pa.array(np.searchsorted(of, np.arange(n + 1)), pa.int32()), rows)
+def _tokens(batch, hasher: WordHasher) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(document, history, word) of every token, and the number of documents."""
+    words, counts = flat_words(batch.column("text").to_pylist(), hasher)
+    ends = np.cumsum(counts + 1) - 1
+    w = np.empty(len(words) + len(counts), np.uint64)
+    inner = np.ones(len(w), bool)
+    inner[ends] = False
+    w[inner], w[ends] = words, END
+    h = np.empty_like(w)
+    h[1:] = w[:-1]
+    h[ends - counts] = START
+    return np.repeat(np.arange(len(counts)), counts + 1), h, w, len(counts)
+
+
+def _by_document(docs: DataFrame, pairs: bool) -> DataFrame:
+    """(did, uid, key, n) for each document's distinct words, or (did, uid, h, w, n) for its distinct pairs."""
+
+    def run(batches):
+        hasher = WordHasher()
+        for batch in small(batches):
+            doc, h, w, _ = _tokens(batch, hasher)
+            of, at, n = _counted(doc, mix(h * M3 + mix(w)) if pairs else w)
+            ids = [batch.column(c).take(pa.array(of)) for c in ("did", "uid")]
+            keys = [pa.array(x[at].view(np.int64)) for x in ((h, w) if pairs else (w,))]
+            yield pa.record_batch([*ids, *keys, pa.array(n)], names)
 
+    names = ["did", "uid", *(["h", "w"] if pairs else ["key"]), "n"]
+    return docs.mapInArrow(run, ", ".join(f"{c} long" for c in names[:-1]) + ", n int")
 
-def _token_keys(docs: DataFrame) -> DataFrame:
-    """(did, uid, train, n_tokens, counts): each document's distinct keys with their counts.
 
-    A word's key is its hash; a pair's (h is its history's key, else null) mixes both.
-    """
+def _pair_counts(docs: DataFrame) -> DataFrame:
+    """(h, w, c): the counts of each batch's pairs."""
 
     def run(batches):
         hasher = WordHasher()
         for batch in small(batches):
-            words, counts = flat_words(batch.column("text").to_pylist(), hasher)
-            ends = np.cumsum(counts + 1) - 1
-            w = np.empty(len(words) + len(counts), np.uint64)
-            inner = np.ones(len(w), bool)
-            inner[ends] = False
-            w[inner], w[ends] = words, END
-            h = np.empty_like(w)
-            h[1:] = w[:-1]
-            h[ends - counts] = START
-            doc = np.repeat(np.arange(len(counts)), counts + 1)
-            of_words, word, n = _counted(doc, w)
-            of_pairs, pair, m = _counted(doc, mix(h * M3 + mix(w)))
-            lists = [
-                _lists(of_words, len(counts), {"key": w[word], "c": n}),
-                _lists(of_pairs, len(counts), {"key": mix(h * M3 + mix(w))[pair], "h": h[pair], "w": w[pair], "c": m}),
-            ]
-            yield pa.record_batch([batch.column("did"), batch.column("uid"), batch.column("train"), pa.array(counts + 1), *lists], ["did", "uid", "train", "n_tokens", "words", "pairs"])
-
-    return docs.mapInArrow(run, "did long, uid long, train boolean, n_tokens long, words array<struct<key:long,c:int>>, pairs array<struct<key:long,h:long,w:long,c:int>>")
+            _, h, w, _ = _tokens(batch, hasher)
+            _, at, n = _counted(np.zeros(len(w), np.int8), mix(h * M3 + mix(w)))
+            yield pa.record_batch([pa.array(h[at].view(np.int64)), pa.array(w[at].view(np.int64)), pa.array(n)], ["h", "w", "c"])
+
+    return docs.mapInArrow(run, "h long, w long, c int")
 
 
 def discounts(of: dict[int, int], k: int = K) -> dict[int, float]:
-    """Factor for each count up to k, from the numbers of n-grams seen 1 .. k+1 times."""
-    n = [0] + [of.get(r, 0) for r in range(1, k + 2)]
-    last = (k + 1) * n[k + 1] / n[1] if n[1] else 1
-    out = {}
-    for r in range(1, k + 1):
-        d = ((r + 1) * n[r + 1] / (r * n[r]) - last) / (1 - last) if n[r] and last < 1 else 0
-        out[r] = d
-    if not all(0 < d < 1 for d in out.values()):
-        share = n[1] / (n[1] + 2 * n[2]) if n[1] else 0.5
-        out = {r: 1 - min(share, 0.9) / r for r in range(1, k + 1)}
-    return out
+    """Katz's factor for each count up to k, from the numbers of n-grams seen 1 .. FIT times, smoothed by a power law."""
+    seen = [(math.log(r), math.log(n)) for r, n in of.items() if 1 <= r <= FIT and n > 0]
+    slope = float(np.polyfit(*zip(*seen, strict=True), 1)[0]) if len(seen) > 1 else -2.0
+    slope = min(slope, FLATTEST)
+    smooth = lambda r: r**slope  # noqa: E731  n of r, but for a factor that cancels out
+    last = (k + 1) * smooth(k + 1) / smooth(1)
+    return {r: ((r + 1) * smooth(r + 1) / (r * smooth(r)) - last) / (1 - last) for r in range(1, k + 1)}
 
 
 def _discounted(c: Column, d: dict[int, float]) -> Column:
@@ -107,61 +114,69 @@ def _discounted(c: Column, d: dict[int, float]) -> Column:
     return out
 
 
-def _counts_of_counts(counts: DataFrame, k: int) -> dict[int, int]:
-    return {r["c"]: r["n"] for r in counts.filter(F.col("c") <= k + 1).groupBy("c").agg(F.count("*").alias("n")).collect()}  # k + 1 rows
+def _counts_of_counts(counts: DataFrame) -> dict[int, int]:
+    return {r["c"]: r["n"] for r in counts.filter(F.col("c") <= FIT).groupBy("c").agg(F.count("*").alias("n")).collect()}  # FIT rows
 
 
 class Katz:
-    """A trained model: words (key, c, p, logp, log_a) and pairs (key, h, w, c, p), with N and V."""
+    """A trained model: words (key, c, log_p, log_total, log_a) and pairs (h, w, c, of 1 and more), with N and V and the pairs' factors."""
 
-    def __init__(self, words: DataFrame, pairs: DataFrame, total: int, distinct: int, unseen: float):
-        self.words, self.pairs, self.total, self.distinct, self.unseen = words, pairs, total, distinct, unseen
+    def __init__(self, words: DataFrame, pairs: DataFrame, total: int, distinct: int, unseen: float, factors: dict[int, float]):
+        self.words, self.pairs, self.total, self.distinct, self.unseen, self.factors = words, pairs, total, distinct, unseen, factors
 
 
-def train(keys: DataFrame, k: int = K) -> Katz:
-    """keys as from _token_keys(); rows with train true are learnt from."""
-    rows = keys.filter("train")
-    words = written(rows.select(F.explode("words").alias("x")).groupBy("x.key").agg(F.sum("x.c").alias("c")), "words")
-    pairs = written(rows.select(F.explode("pairs").alias("x")).groupBy("x.key", "x.h", "x.w").agg(F.sum("x.c").alias("c")), "pairs")
+def train(docs: DataFrame, k: int = K) -> Katz:
+    """docs (did, uid, text); all are learnt from."""
+    n = parts(docs.sparkSession)
+    words = written(_by_document(docs, False).groupBy("key").agg(F.sum("n").alias("c")), "words")
+    pairs = _pair_counts(docs).repartition(n, "h", "w").groupBy("h", "w").agg(F.sum("c").cast("int").alias("c"))
+    pairs = written(pairs.sortWithinPartitions("h"), "pairs")
     total, distinct = words.agg(F.sum("c"), F.count("*")).first()
     total = total or 0
-    d1, d2 = discounts(_counts_of_counts(words, k), k), discounts(_counts_of_counts(pairs, k), k)
+    d1, d2 = discounts(_counts_of_counts(words), k), discounts(_counts_of_counts(pairs), k)
     mass = words.agg(F.sum(_discounted(F.col("c"), d1))).first()[0] or 0.0
     events = total if mass < total else total + 1
     unseen = 1 - mass / events if total else 1.0
     words = words.withColumn("p", _discounted(F.col("c"), d1) / F.lit(float(max(events, 1))))
-    # a history's count is what follows it: its own count, but the start's; all by the pairs
     found = pairs.join(words.select(F.col("key").alias("w"), "p"), "w")
-    sums = found.groupBy("h").agg(F.sum("c").alias("ch"), F.sum(_discounted(F.col("c"), d2)).alias("seen"), F.sum("p").alias("low"))
-    sums = sums.withColumn("ch", F.when(F.col("seen") < F.col("ch"), F.col("ch")).otherwise(F.col("ch") + 1))
-    sums = written(sums.withColumn("a", (1 - F.col("seen") / F.col("ch")) / (1 - F.col("low"))), "histories")
-    words = words.join(sums.select(F.col("h").alias("key"), F.log10("a").alias("log_a")), "key", "full")
-    words = written(words.select("key", "c", "p", F.log10("p").alias("log_p"), F.coalesce("log_a", F.lit(0.0)).alias("log_a")), "model-words")
-    pairs = pairs.join(sums.select("h", "ch"), "h").withColumn("p", _discounted(F.col("c"), d2) / F.col("ch")).drop("ch")
-    return Katz(words, pairs, total, distinct, unseen)
-
-
-def score(keys: DataFrame, model: Katz) -> DataFrame:
-    """did, uid, n_tokens, n_known, base_score, score; a row for each distinct (did, uid)."""
-    start = int(START.astype(np.int64)) if START < (1 << 63) else int(START) - (1 << 64)
-    log_unseen = float(np.log10(model.unseen))
-    uni = model.words.select("key", "c", "log_p", "log_a")
-    word_rows = keys.select("did", "uid", F.explode("words").alias("x")).select("did", "uid", "x.key", F.col("x.c").alias("n"))
+    sums = found.groupBy("h").agg(F.sum("c").alias("ch"), F.sum(_discounted(F.col("c"), d2)).alias("seen"), F.sum("p").alias("low"), F.min("c").alias("least"))
+    sums = sums.withColumn("total", F.col("ch") + F.when(F.col("least") > k, 1).otherwise(0))
+    sums = sums.select(F.col("h").alias("key"), F.log10("total").alias("log_total"), F.log10((1 - F.col("seen") / F.col("total")) / (1 - F.col("low"))).alias("log_a"))
+    words = words.join(sums, "key", "full").select("key", "c", F.log10("p").alias("log_p"), "log_total", F.coalesce("log_a", F.lit(0.0)).alias("log_a"))
+    return Katz(written(words, "model"), pairs, total, distinct, unseen, d2)
+
+
+def score(docs: DataFrame, model: Katz) -> DataFrame:
+    """docs (did, uid, text, train) -> did, uid, n_tokens, n_known, base_score, score; a row for each distinct (did, uid)."""
+    total = lambda c: F.sum(c).alias("s")
+    log_unseen, end = F.lit(float(np.log10(model.unseen))), F.lit(int(END))
+    start = model.words.filter(F.col("key") == F.lit(int(START.view(np.int64)))).select("log_total", "log_a").first() or [0.0, 0.0]
+    n, by = F.col("n"), ["did", "uid"]
+    learnt, others = docs.filter("train").select("did", "uid", "text"), docs.filter("not train").select("did", "uid", "text")
     base = F.log10((F.coalesce("c", F.lit(0)) + 1) / F.lit(float(model.total + model.distinct + 1)))
-    end = F.lit(int(END))
     # every word but the end is a history of the next token; the start is the first one's
-    of_words = word_rows.join(uni, "key", "left").select(
-        "did", "uid", "n", (F.col("n") * base).alias("b"), F.when(F.col("c") > 0, F.col("n")).otherwise(0).alias("known"),
-        (F.col("n") * (F.coalesce("log_p", F.lit(log_unseen)) + F.when(F.col("key") == end, 0.0).otherwise(F.coalesce("log_a", F.lit(0.0))))).alias("s"),
-    )
-    of_words = of_words.groupBy("did", "uid").agg(F.sum("n").alias("n_tokens"), F.sum("b").alias("b"), F.sum("known").alias("known"), F.sum("s").alias("s"))
-    log_start = (model.words.filter(F.col("key") == F.lit(start)).select("log_a").first() or [0.0])[0]
-    lower = model.pairs.join(uni.select(F.col("key").alias("w"), "log_p"), "w").join(uni.select(F.col("key").alias("h"), "log_a"), "h")
-    gain = written(lower.select("key", (F.log10("p") - F.col("log_p") - F.col("log_a")).alias("g")), "model-pairs")
-    pair_rows = keys.select("did", "uid", F.explode("pairs").alias("x")).select("did", "uid", "x.key", F.col("x.c").alias("n"))
-    of_pairs = pair_rows.join(gain, "key").groupBy("did", "uid").agg(F.sum(F.col("n") * F.col("g")).alias("g"))
-    out = of_words.join(of_pairs, ["did", "uid"], "left")
-    return out.select("did", "uid", F.col("n_tokens").cast("long").alias("n_tokens"), F.col("known").alias("n_known"), F.col("b").alias("base_score"), (F.col("s") + F.coalesce("g", F.lit(0.0)) + log_start).alias("score"))
+    follows = F.when(F.col("key") == end, F.lit(0.0)).otherwise(-n * F.col("log_total"))
+    sums = [F.sum("n").alias("n_tokens"), F.sum(n * base).alias("b"), F.sum(F.when(F.col("c") > 0, n).otherwise(0)).alias("known")]
+    words = model.words.select("key", "c", "log_total")
+    of_words = _by_document(docs.select("did", "uid", "text"), False).join(words, "key", "left").groupBy(by).agg(*sums, F.sum(follows).alias("f"))
+    of_words = written(of_words, "by-words")
+    counted = F.log10(_discounted(F.coalesce("c", F.lit(1)), model.factors))
+    pair = F.xxhash64("h", "w").alias("pair")
+    often = model.pairs.filter("c > 1").select(pair, "c")
+    of_pairs = _by_document(learnt, True).select("did", "uid", pair, "n").join(often, "pair", "left").groupBy(by).agg(total(n * counted))
+    of_pairs = written(of_pairs, "by-pairs")
+    held = written(_by_document(others, True).join(model.pairs, ["h", "w"], "left"), "held-pairs")
+    p = model.words.select(F.col("key").alias("w"), "log_p")
+    a = model.words.select(F.col("key").alias("h"), "log_total", "log_a")
+    seen = held.filter("c is not null").select(*by, (n * counted).alias("x"))
+    at_start = F.col("h") == F.lit(int(START.view(np.int64)))
+    # an unseen pair has no total: what the words' sum took off for its history is put back
+    back = F.when(at_start, F.lit(start[0] + start[1])).otherwise(F.coalesce("log_a", F.lit(0.0)) + F.coalesce("log_total", F.lit(0.0)))
+    fresh = held.filter("c is null").join(a, "h", "left").join(p, "w", "left").select(*by, (n * (F.coalesce("log_p", log_unseen) + back)).alias("x"))
+    of_held = seen.union(fresh).groupBy(by).agg(total("x"))
+    out = of_words.join(of_pairs.union(of_held), by, "left")
+    whole = F.coalesce("f", F.lit(0.0)) + F.coalesce("s", F.lit(0.0)) - F.lit(float(start[0] or 0.0))
+    return out.select("did", "uid", "n_tokens", F.col("known").alias("n_known"), F.col("b").alias("base_score"), whole.alias("score"))
 
 
 def held_out() -> Column:
@@ -171,11 +186,11 @@ def held_out() -> Column:
 def scored(docs: DataFrame, held: Column | None = None, k: int = K) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; learnt from what is not held out."""
     marked = docs.withColumn("_held", F.coalesce(held_out() if held is None else held, F.lit(False)))
-    keys = keyed(marked, "_held").withColumn("train", ~F.col("_held")).drop("_held")
-    # the keys are several times the text's size: they are made anew for each use, not stored
-    rows, keys = keys.select("did", "uid", "train"), _token_keys(keys)
-    model = train(keys, k)
-    found = score(_token_keys(keyed(marked, "_held").withColumn("train", ~F.col("_held")).dropDuplicates(["did", "uid"])) if _repeated(rows) else keys, model)
+    rows = keyed(marked, "_held").withColumn("train", ~F.col("_held")).drop("_held")
+    model = train(rows.filter("train").select("did", "uid", "text"), k)
+    rows_of = rows.select("did", "uid", "train")
+    found = score(rows.dropDuplicates(["did", "uid"]) if _repeated(rows_of) else rows, model)
+    rows = rows_of
     out = rows.select("did", "uid", (~F.col("train")).alias("held_out")).join(found, ["did", "uid"])
     return out.select(
         F.when(F.col("did") != F.lit(NULL_ID), F.col("did")).alias("doc_id"), "held_out", "n_tokens", F.col("n_known").cast("long").alias("n_known"), F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score"

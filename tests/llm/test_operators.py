@@ -172,7 +172,15 @@ def test_katz(docs, rows):
             uni.update(w)
             pairs.update(zip([1] + w[:-1], w, strict=True))
     n, v = sum(uni.values()), len(uni)
-    d1, d2 = katz.discounts(Counter(uni.values())), katz.discounts(Counter(pairs.values()))
+
+    def factors(counts):
+        x = [(math.log(r), math.log(m)) for r, m in Counter(counts).items() if r <= 10]
+        mx, my = (sum(c) / len(x) for c in zip(*x, strict=True))
+        b = min(-1.1, sum((i - mx) * (j - my) for i, j in x) / sum((i - mx) ** 2 for i, _ in x))
+        return {r: ((1 + 1 / r) ** (b + 1) - 6 ** (b + 1)) / (1 - 6 ** (b + 1)) for r in range(1, 6)}
+
+    d1, d2 = factors(uni.values()), factors(pairs.values())
+    assert all(0 < d < 1 for d in [*d1.values(), *d2.values()]) and len({*d1.values()}) == 5
     p = {w: d1.get(c, 1) * c / n for w, c in uni.items()}
     unseen = 1 - sum(p.values())
     total, seen, low = Counter(), defaultdict(float), defaultdict(float)
@@ -180,8 +188,11 @@ def test_katz(docs, rows):
         total[h] += c
         seen[h] += d2.get(c, 1) * c
         low[h] += p[w]
+    least = {}
+    for (h, _), c in pairs.items():
+        least[h] = min(c, least.get(h, c))
     for h in total:
-        total[h] += not seen[h] < total[h]
+        total[h] += least[h] > 5
     a = {h: (1 - seen[h] / total[h]) / (1 - low[h]) for h in total}
     for h in total:  # exactly normalised
         assert math.isclose(seen[h] / total[h] + a[h] * (1 - low[h]), 1, rel_tol=1e-12)
@@ -197,8 +208,9 @@ def test_katz(docs, rows):
         assert any(x[:4] == mine and math.isclose(x[4], r["base_score"], rel_tol=1e-9) and math.isclose(x[5], r["score"], rel_tol=1e-9) for x in want[r["doc_id"]])
 
 
-def test_good_turing():
-    d = katz.discounts({1: 1000, 2: 400, 3: 220, 4: 140, 5: 100, 6: 75})
+@pytest.mark.parametrize("of", [{1: 1000, 2: 400, 3: 220, 4: 140, 5: 100, 6: 75}, {1: 1000, 2: 400, 3: 220, 4: 180, 5: 250, 6: 75}, {3: 7}, {}, {1: 5, 2: 50}])
+def test_good_turing(of):
+    d = katz.discounts(of)
     assert all(0 < x < 1 for x in d.values()) and list(d.values()) == sorted(d.values())
 
 
