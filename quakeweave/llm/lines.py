@@ -2,27 +2,22 @@
 
 Lines are compared in normal form: A-Z in lower case, words parted by one space.  A
 line that is not blank is removed if an earlier line, in order of doc_id and place, is
-equal to it, whatever its length.  A line of ``SHORTEST`` code points or more is also
-removed if an earlier line of as many is near it, an earlier line that is itself removed
-included: within one edit (insertion, deletion or substitution of a code point), or, of
-lines of ``LONG`` code points or more, within ``edits``, though no more than one for
-every ``EVERY`` code points of the shorter.  Blank lines part paragraphs and stay.
+equal to it, whatever its length, or near it, an earlier line that is itself removed
+included.  Two lines are near if one edit, an insertion, deletion or substitution of a
+unit, makes one the other.  Of lines of ``words`` words or more a unit is a word, so that
+one word in as many may differ, by however many code points; of other lines of
+``shortest`` code points or more it is a code point.  Lines of different units are not
+compared, and shorter ones are removed as exact copies only.  Blank lines part
+paragraphs and stay.
 
 Equal lines are found by hash and represented by their first occurrence.  For the rest
 each line emits the hashes of its deletion neighbourhood: itself, and itself less the
-code point at each place.  Two lines are one substitution apart exactly if they share
-a variant made at the same place, and one insertion apart exactly if a variant of one
-is the other; so a group needs no pairs, only the earliest member of either role.  Each
-match is verified by its edit distance.  Long lines have as many variants as code
-points, so only lines that can match are expanded: of two lines within one edit, one
-shares its first and one its last half, of the shorter's length, with the other.
-
-Lines more than one edit apart are found by runs of words: a line's runs are those whose
-hash is the least of their neighbours', which depends on the words nearby alone, so that
-lines whose edits leave one such run and its neighbours alone share it.  Each pair of
-lines that share a run is verified by its edit distance.  Pairs within one edit are all
-found; of the others those whose edits touch every run, and lines of few long words, are
-missed (README: the share found).
+unit at each place.  Two lines are one substitution apart exactly if they share a
+variant made at the same place, and one insertion apart exactly if a variant of one is
+the other; so a group needs no pairs, only the earliest member of either role.  Each
+match is verified by its edit distance.  Long lines have as many variants as units, so
+only lines that can match are expanded: of two lines within one edit, one shares its
+first and one its last half, of the shorter's length, with the other.
 
 Null texts stay null, without lines; empty texts stay empty.  Rows equal in doc_id and
 text are one document: they keep the same lines.  Null doc_ids come last.  An empty
@@ -37,16 +32,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quakeweave.llm._common import NULL_ID, keyed, parts, table, written
-from quakeweave.llm.hashing import M3, WordHasher, flat_words, mix, small
+from quakeweave.llm._common import NULL_ID, drop, keyed, parts, table, written
+from quakeweave.llm.hashing import M3, mix, small
 
-SHORTEST = 20
-#: The most edits the registered query and the pipeline take two lines to be near by, one for every EVERY code points of the shorter.
-EDITS, EVERY = 20, 10
-#: Lines of fewer code points are near by one edit only.
-LONG = 40
-#: Runs of words: (least code points of a line, words in a run, places on either side of which a run has the least hash).
-RUNS = ((LONG, 3, 1), (160, 4, 6))
+#: Least words of a line whose units are words, least code points of one whose units are code points.
+WORDS, SHORTEST = 8, 20
 
 
 def normal(line: str) -> str:
@@ -57,13 +47,23 @@ def _hash(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text.encode()) - (1 << 63)
 
 
-def _halves(line: str) -> list[int]:
-    """Keys of which two lines within one edit share one: their common length class, side and half."""
-    n = len(line)
-    return [_hash(f"{m}{side}{half}") for m in (n, n - 1) for side, half in (("<", line[: m // 2]), (">", line[n - m // 2 :]))]
+def units(line: str, words: int = WORDS, shortest: int = SHORTEST) -> list[str] | str:
+    """What an edit of the line changes one of; nothing if the line is too short."""
+    parted = line.split(" ")
+    return parted if len(parted) >= words else line if len(line) >= shortest else ""
 
 
-def _lines(texts: DataFrame, shortest: int) -> DataFrame:
+def _halves(line: str, words: int, shortest: int) -> list[int]:
+    """Keys of which two lines within one edit share one: their unit, common length class, side and half."""
+    parted, out = units(line, words, shortest), []
+    glue, least = (" ", words) if isinstance(parted, list) else ("", shortest)
+    for m in (len(parted), len(parted) - 1):
+        if m >= least:
+            out += [_hash(f"{glue}{m}{side}{glue.join(half)}") for side, half in (("<", parted[: m // 2]), (">", parted[len(parted) - m // 2 :]))]
+    return out
+
+
+def _lines(texts: DataFrame, words: int, shortest: int) -> DataFrame:
     """(did, uid, pos, h, halves) of the lines that are not blank; short ones have no halves."""
 
     def run(batches):
@@ -72,7 +72,7 @@ def _lines(texts: DataFrame, shortest: int) -> DataFrame:
             for did, uid, text in zip(*(batch.column(c).to_pylist() for c in ("did", "uid", "text")), strict=True):
                 for pos, line in enumerate((text or "").split("\n")):
                     if line := normal(line):
-                        for column, value in zip(out, (did, uid, pos, _hash(line), _halves(line) if len(line) >= shortest else []), strict=True):
+                        for column, value in zip(out, (did, uid, pos, _hash(line), _halves(line, words, shortest)), strict=True):
                             column.append(value)
             yield pa.record_batch([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64())), strict=True)], ["did", "uid", "pos", "h", "halves"])
 
@@ -121,10 +121,11 @@ def _shared(halves: DataFrame) -> DataFrame:
     return halves.mapInArrow(run, "h long").distinct()
 
 
-def variant_hashes(line: str) -> tuple[int, np.ndarray]:
-    """(hash of the line, hash of the line less each code point)."""
-    c = mix(np.frombuffer(line.encode("utf-32-le"), np.uint32).astype(np.uint64) + M3)
-    base, n = M3 | np.uint64(1), len(line)
+def variant_hashes(parted: list[str] | str) -> tuple[int, np.ndarray]:
+    """(hash of the units, hash of the units less each of them)."""
+    of = np.fromiter((_hash(x) for x in parted), np.int64, len(parted)).view(np.uint64) if isinstance(parted, list) else np.frombuffer(parted.encode("utf-32-le"), np.uint32).astype(np.uint64)
+    c = mix(of + M3)
+    base, n = M3 | np.uint64(1), len(parted)
     power = np.full(n, base)
     power[:1] = 1
     power = np.multiply.accumulate(power)
@@ -136,14 +137,22 @@ def variant_hashes(line: str) -> tuple[int, np.ndarray]:
     return int(mix(upto[-1:] ^ mix(size.reshape(1)))[0].view(np.int64)), mix(less ^ mix((size - np.uint64(1)).reshape(1))).view(np.int64)
 
 
-def _neighbourhood(lines: DataFrame) -> DataFrame:
+def within_one(a: list[str] | str, b: list[str] | str) -> bool:
+    """Whether one edit at most makes a b."""
+    if type(a) is not type(b) or abs(len(a) - len(b)) > 1:
+        return False
+    i = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+    return any(a[i + j :] == b[i + k :] for j, k in ((0, 0), (1, 1), (0, 1), (1, 0)))
+
+
+def _neighbourhood(lines: DataFrame, words: int, shortest: int) -> DataFrame:
     """(key, role, h): role 0 the line itself, 1 a variant, 2 a variant together with its place."""
 
     def run(batches):
         for batch in batches:
             keys, roles, owners, size = [], [], [], 0
             for h, line in zip(batch.column("h").to_pylist(), batch.column("line").to_pylist(), strict=True):
-                own, less = variant_hashes(line)
+                own, less = variant_hashes(units(line, words, shortest))
                 alike = np.unique(less)
                 placed = mix(less.view(np.uint64) * M3 + np.arange(1, len(less) + 1, dtype=np.uint64)).view(np.int64)
                 keys += [np.array([own]), alike, placed]
@@ -182,9 +191,15 @@ def _met(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "key long, role byte, h long")
 
 
-def _near(lines: DataFrame) -> DataFrame:
+def _near(lines: DataFrame, words: int, shortest: int) -> DataFrame:
     """h of the lines within one edit of an earlier one."""
-    rows = _neighbourhood(lines).repartition(parts(lines.sparkSession), "key").sortWithinPartitions("key")
+
+    def run(batches):
+        for batch in batches:
+            a, b = ([units(x, words, shortest) for x in batch.column(c).to_pylist()] for c in "ab")
+            yield batch.select(["h"]).filter(pa.array([within_one(x, y) for x, y in zip(a, b, strict=True)], pa.bool_()))
+
+    rows = _neighbourhood(lines, words, shortest).repartition(parts(lines.sparkSession), "key").sortWithinPartitions("key")
     rows = written(_met(rows).join(lines.select("h", "first"), "h"), "met")
     me, role = F.struct("first", "h"), F.col("role")
     least = rows.groupBy("key").agg(*[F.min(F.when(role == r, me)).alias(f"m{r}") for r in (0, 1, 2)])
@@ -192,121 +207,29 @@ def _near(lines: DataFrame) -> DataFrame:
     found = rows.join(least, "key").select("h", "first", other.alias("o")).filter(F.col("o.first") < F.col("first"))
     pairs = found.select("h", F.col("o.h").alias("oh")).distinct()
     a, b = lines.select("h", F.col("line").alias("a")), lines.select(F.col("h").alias("oh"), F.col("line").alias("b"))
-    return pairs.join(a, "h").join(b, "oh").filter(F.levenshtein("a", "b", 1).between(0, 1)).select("h").distinct()
-
-
-def _run_keys(lines: list[str], edits: int, hasher: WordHasher) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(number of the line, key, place: the line's length and the run's first code point) of the lines' runs; a key goes with the lines' length class and side of RUNS; lines up to edits longer than a class are in it too."""
-    words, counts = flat_words(lines, hasher, lower=False)
-    owner, n = np.repeat(np.arange(len(lines)), counts), np.array([len(x) for x in lines], np.int64)
-    at, out = np.arange(len(words)), ([], [], [])
-    after = np.cumsum(np.fromiter((len(w) + 1 for x in lines for w in x.split(" ")), np.int64, len(words)))
-    start = np.concatenate([np.zeros(1, np.int64), after])[:-1] - np.concatenate([np.zeros(1, np.int64), np.cumsum(n + 1)])[owner]
-    for k, (least, size, around) in enumerate(RUNS):
-        most = RUNS[k + 1][0] + edits if k + 1 < len(RUNS) else 1 << 62
-        acc = np.full(len(words), np.uint64(size))
-        for j in range(size):
-            acc = mix(acc * M3 + np.concatenate([words[j:], np.zeros(min(j, len(words)), np.uint64)]))
-        fits = at + size <= np.cumsum(counts)[owner]
-        acc[~fits] = np.iinfo(np.uint64).max
-        good = fits & (n[owner] >= least) & (n[owner] < most)
-        for j in range(1, around + 1):
-            apart = owner[j:] != owner[:-j]
-            good[j:] &= apart | (acc[j:] <= acc[:-j])
-            good[:-j] &= apart | (acc[:-j] <= acc[j:])
-        i, width = np.flatnonzero(good), max(256, edits)
-        lower = i[n[owner[i]] % width < edits]
-        for rows, less in ((i, 0), (lower, 1)):
-            side = (n[owner[rows]] // width - less + 1).astype(np.uint64)
-            out[0].append(owner[rows])
-            out[1].append(mix(acc[rows] * M3 + side * np.uint64(len(RUNS)) + np.uint64(k)).view(np.int64))
-            out[2].append(n[owner[rows]] << 32 | start[rows])
-    return tuple(np.concatenate(x) for x in out)
-
-
-def _runs(texts: DataFrame, edits: int) -> DataFrame:
-    """(key, place, h) of the runs of all lines of LONG code points or more."""
-
-    def run(batches):
-        hasher = WordHasher()
-        for batch in batches:
-            for part in small([batch]):
-                lines = list({x for text in part.column("text").to_pylist() for line in (text or "").split("\n") if len(line) >= LONG and len(x := normal(line)) >= LONG})
-                if lines:
-                    owner, keys, places = _run_keys(lines, edits, hasher)
-                    yield pa.record_batch([pa.array(keys), pa.array(places), pa.array(np.array([_hash(x) for x in lines], np.int64)[owner])], ["key", "place", "h"])
-
-    return texts.select("text").mapInArrow(run, "key long, place long, h long")
-
-
-def _pairs(rows: DataFrame, edits: int) -> DataFrame:
-    """(h, oh), h < oh, of the lines that share a key at places that their bound allows; sorted by key, place and h, of which only the last group is held."""
-
-    def run(batches):
-        def given(key, place, h):
-            new = np.ones(len(key), bool)
-            new[1:] = (key[1:] != key[:-1]) | (place[1:] != place[:-1]) | (h[1:] != h[:-1])
-            key, place, h = key[new], place[new], h[new]
-            n, start = place >> 32, place & 0xFFFFFFFF
-            bound, at, far = np.maximum(1, np.minimum(edits, n // EVERY)), np.arange(len(key)), 1
-            # in order of length, so what is too long for a line is followed by longer ones
-            while len(at := at[at + far < len(key)]) and len(at := at[(key[at] == key[at + far]) & (n[at + far] - n[at] <= bound[at])]):
-                to, k = at + far, bound[at]
-                ok = (h[at] != h[to]) & (np.abs(start[to] - start[at]) <= k) & (np.abs(n[to] - start[to] - n[at] + start[at]) <= k)
-                x, y = h[at[ok]], h[to[ok]]
-                if len(x):
-                    yield pa.record_batch([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["h", "oh"])
-                far += 1
-
-        held = [np.zeros(0, np.int64)] * 3
-        for batch in batches:
-            held = [np.concatenate([x, batch.column(c).to_numpy()]) for x, c in zip(held, ("key", "place", "h"), strict=True)]
-            if len(held[0]):
-                whole = int(np.searchsorted(held[0], held[0][-1]))
-                yield from given(*[x[:whole] for x in held])
-                held = [x[whole:] for x in held]
-        yield from given(*held)
-
-    return rows.mapInArrow(run, "h long, oh long").distinct()
-
-
-def _farther(pairs: DataFrame, lines: DataFrame, edits: int) -> DataFrame:
-    """h of the later line of each pair that is within its bound."""
-    a = lines.select("h", F.col("line").alias("a"), F.col("first").alias("fa"))
-    b = lines.select(F.col("h").alias("oh"), F.col("line").alias("b"), F.col("first").alias("fb"))
-    bound = F.greatest(F.lit(1), F.least(F.lit(edits), F.floor(F.least(F.length("a"), F.length("b")) / EVERY)))
-    near = pairs.join(a, "h").join(b, "oh").filter(F.levenshtein("a", "b", edits).between(F.lit(0), bound))
-    return near.select(F.when(F.col("fa") < F.col("fb"), F.col("oh")).otherwise(F.col("h")).alias("h"))
+    return pairs.join(a, "h").join(b, "oh").select("h", "a", "b").mapInArrow(run, "h long").distinct()
 
 
-def removed_lines(docs: DataFrame, shortest: int = SHORTEST, edits: int = 1) -> DataFrame:
+def removed_lines(docs: DataFrame, words: int = WORDS, shortest: int = SHORTEST) -> DataFrame:
     """(did, uid, removed): the places, from 0, of the lines to remove from each document that has any."""
     texts = keyed(docs)
-    lines = written(_lines(texts, shortest), "lines")
+    lines = written(_lines(texts, words, shortest), "lines")
     firsts = lines.groupBy("h").agg(F.min(F.struct("did", "uid", "pos")).alias("first"), F.count("*").alias("n"))
     firsts = written(firsts, "firsts")
     halves = lines.select("h", F.explode(F.array_distinct("halves")).alias("half"))
     possible = _shared(halves.repartition(parts(docs.sparkSession), "half").sortWithinPartitions("half", "h"))
-    if edits > 1:
-        possible = written(possible, "halves")
-        runs = _runs(texts, edits).repartition(parts(docs.sparkSession), "key").sortWithinPartitions("key", "place", "h")
-        pairs = written(_pairs(runs, edits), "pairs")
-        shared = pairs.select("h").union(pairs.select("oh")).distinct()
-        chosen = written(_fetched(texts, firsts.select("h", "first").join(possible.union(shared).distinct(), "h")), "possible")
-        near = _near(chosen.join(possible, "h", "left_semi")).union(_farther(pairs, chosen, edits)).distinct()
-    else:
-        chosen = written(_fetched(texts, firsts.select("h", "first").join(possible, "h")), "possible")
-        near = _near(chosen)
-    near = written(near, "near").withColumn("near", F.lit(True))
+    candidates = written(_fetched(texts, firsts.select("h", "first").join(possible, "h")), "possible")
+    near = written(_near(candidates, words, shortest), "near").withColumn("near", F.lit(True))
+    drop(candidates)
     again = firsts.select("h", "first", "n").join(near, "h", "left").filter("n > 1 or near").select("h", "first", F.coalesce("near", F.lit(False)).alias("near"))
     here = F.struct("did", "uid", "pos")
     gone = lines.select("did", "uid", "pos", "h").join(again, "h").filter(F.col("near") | (here != F.col("first")))
     return gone.groupBy("did", "uid").agg(F.sort_array(F.collect_set("pos")).alias("removed"))
 
 
-def deduplicated(docs: DataFrame, shortest: int = SHORTEST, edits: int = 1) -> DataFrame:
+def deduplicated(docs: DataFrame, words: int = WORDS, shortest: int = SHORTEST) -> DataFrame:
     """The documents with their texts less the removed lines, all their columns (n_chars counted anew), and _lines and _removed."""
-    gone = removed_lines(docs, shortest, edits).select(F.col("did").alias("_did"), F.col("uid").alias("_uid"), F.col("removed").alias("_removed"))
+    gone = removed_lines(docs, words, shortest).select(F.col("did").alias("_did"), F.col("uid").alias("_uid"), F.col("removed").alias("_removed"))
     out = docs.withColumns({"_did": F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)), "_uid": F.xxhash64("doc_id", "text")}).join(gone, ["_did", "_uid"], "left")
     lines = F.split("text", "\n")
     left = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("_removed", i)), "\n")
@@ -318,7 +241,7 @@ def deduplicated(docs: DataFrame, shortest: int = SHORTEST, edits: int = 1) -> D
 
 
 def op1_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"), edits=EDITS)
+    out = deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select(
         "doc_id", F.col("_lines").cast("long").alias("n_lines"), F.size("_removed").cast("long").alias("n_removed"), F.concat_ws(",", F.col("_removed").cast("array<string>")).alias("removed"), F.sha2("text", 256).alias("text_sha256")
     )

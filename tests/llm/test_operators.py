@@ -28,19 +28,19 @@ def test_lines(docs, rows):
     more = [(200 + k, x, "s") for k, x in enumerate(extra)]
     spark = docs.sparkSession
     got = lines.deduplicated(docs.select("doc_id", "text", "source").union(spark.createDataFrame(more, "doc_id long, text string, source string")))
-    seen, longer, gaps, want = set(), set(), set(), {}
+    seen, earlier, want = set(), [], {}
     for did, text in sorted({(key(r[0]), r[1] or "") for r in rows + more}):
         gone = []
         for pos, line in enumerate(text.split("\n")):
             n = lines.normal(line)
-            if len(n) < lines.SHORTEST:
+            if not n:
                 continue
-            less = [n[:i] + n[i + 1 :] for i in range(len(n))]
-            if n in seen or n in longer or any(v in seen or (v, i) in gaps for i, v in enumerate(less)):
+            u = n.split(" ") if n.count(" ") >= 7 else n if len(n) >= 20 else None
+            if n in seen or u and any(type(x) is type(u) and _distance(x, u) <= 1 for x in earlier):
                 gone.append(pos)
+            if n not in seen and u:
+                earlier.append(u)
             seen.add(n)
-            longer.update(less)
-            gaps.update((v, i) for i, v in enumerate(less))
         if gone:
             want[did, text] = gone
     originals = Counter((key(r[0]), r[1]) for r in rows + more)
@@ -64,6 +64,9 @@ def test_lines_short_copies(spark):
 
 
 def _distance(a, b):
+    """Edits from a to b; 2 stands for any larger number of units more or less."""
+    if abs(len(a) - len(b)) > 1:
+        return 2
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
         last, row[0] = row[0], i
@@ -72,21 +75,20 @@ def _distance(a, b):
     return row[-1]
 
 
-def test_lines_some_edits_apart(spark):
+def test_lines_one_word_apart(spark):
     rng = np.random.default_rng(5)
     word = lambda n: "".join(rng.choice(list("abcdefgh"), n))
-    base = [[word(rng.integers(2, 9)) for _ in range(n)] for n in (12, 20, 30, 31, 45, 90)]
+    base = [[word(rng.integers(2, 9)) for _ in range(n)] for n in (7, 8, 9, 12, 31, 90)]
     texts = [" ".join(w) for w in base]
     for w in base:
-        for at in rng.integers(0, len(w), 4):  # one word replaced
-            texts.append(" ".join([*w[:at], word(rng.integers(4, 8)), *w[at + 1 :]]))
-        texts.append(" ".join(w[: len(w) // 2] + [word(30)] + w[len(w) // 2 :]))  # too far
+        for at in (0, len(w) // 2, len(w) - 1):
+            texts += [" ".join([*w[:at], word(12), *w[at + 1 :]]), " ".join([*w[:at], *w[at + 1 :]]), " ".join([*w[:at], word(12), *w[at:]])]
+        texts.append(" ".join([word(9), *w[1:-1], word(9)]))  # too far
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r["doc_id"] for r in lines.deduplicated(df, edits=lines.EDITS).collect() if r["_removed"]}
-    bound = lambda a, b: max(1, min(lines.EDITS, min(len(a), len(b)) // lines.EVERY))
-    want = {j for j, b in enumerate(texts) if any(_distance(a, b) <= bound(a, b) for a in texts[:j])}
-    assert len(want) >= 15 and got <= want
-    assert len(got) >= 0.9 * len(want)
+    got = {r["doc_id"] for r in lines.deduplicated(df).collect() if r["_removed"]}
+    of = [lines.units(t) for t in texts]
+    want = {j for j in range(len(of)) if any(type(a) is type(of[j]) and _distance(a, of[j]) <= 1 for a in of[:j])}
+    assert got == want and len(want) >= 40
 
 
 def test_quality(docs, rows):
