@@ -6,7 +6,7 @@ trigonometric functions and in the order of sums.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quakeweave.functions import calendar, geo, robust
@@ -47,8 +47,8 @@ def _candidates(spark: SparkSession, d: str, k: int = 20, mutual: bool = True) -
     return knn.undirected(knn.nearest(p, p, k, axes), mutual)
 
 
-def _dd(spark: SparkSession, d: str, **options) -> DataFrame:
-    return observations.dd_candidates(_theta(spark, d), views.stations(spark, d), views.catalog(spark, d), _candidates(spark, d), minimum_degree=DEGREE, **options)
+def _dd(spark: SparkSession, d: str, degree: int = DEGREE, **options) -> DataFrame:
+    return observations.dd_candidates(_theta(spark, d), views.stations(spark, d), views.catalog(spark, d), _candidates(spark, d), minimum_degree=degree, **options)
 
 
 _SIGMA = "CASE WHEN {a}.has_sigma THEN sqrt(power(coalesce(abs({a}.sigma), 0.002::DOUBLE), 2) + power(coalesce(abs({b}.sigma), 0.002::DOUBLE), 2)) ELSE sqrt(2::DOUBLE) * 0.002::DOUBLE END"
@@ -134,9 +134,9 @@ def dd_candidates(spark, d):
     return _shown(_dd(spark, d))
 
 
-@query(_KNN + "," + _DD + ", s AS (SELECT *, count(*) OVER (PARTITION BY i, j) AS n FROM dd) " + _OBS + "s WHERE n >= 2")
+@query(_KNN + "," + _DD.replace(f">= {DEGREE}", ">= 6") + ", s AS (SELECT *, count(*) OVER (PARTITION BY i, j) AS n FROM dd) " + _OBS + "s WHERE n >= 6")
 def dd_pair_support(spark, d):
-    return _shown(observations.minimum_pair_support(_dd(spark, d), 2))
+    return _shown(observations.minimum_pair_support(_dd(spark, d, degree=6), 6))
 
 
 _PEEL = ", p0 AS (SELECT * FROM dd)" + "".join(f", n{k} AS (SELECT v, count(*) AS n FROM (SELECT i AS v FROM p{k} UNION ALL SELECT j FROM p{k}) GROUP BY v), p{k + 1} AS (SELECT p.* FROM p{k} p JOIN n{k} a ON a.v = p.i JOIN n{k} b ON b.v = p.j WHERE a.n >= 12 AND b.n >= 12)" for k in range(10))
@@ -328,13 +328,13 @@ def reflected_depths(spark, d):
 
 
 @query(_STAR + """,
-act AS (SELECT DISTINCT v FROM (SELECT i AS v FROM star UNION ALL SELECT j FROM star) WHERE v % 3 <> 0)
+act AS (SELECT DISTINCT v FROM (SELECT i AS v FROM star UNION ALL SELECT j FROM star))
 SELECT p.event_id, round(CASE WHEN act.v IS NULL THEN 0 ELSE 1.5::DOUBLE END, 6) AS dx_m, round(CASE WHEN act.v IS NULL THEN 0 ELSE -2.0::DOUBLE END, 6) AS dz_m, round(CASE WHEN act.v IS NULL THEN 0 ELSE 0.25::DOUBLE END, 6) AS dt0_s FROM points p LEFT JOIN act ON act.v = p.event_id
 """)
 def cumulative_shift(spark, d):
     before = views.points(spark, d)
     after = before.select("event_id", (F.col("x") + 1.5).alias("x"), "y", (F.col("z") - 2.0).alias("z"), F.lit(0.25).alias("t0"))
-    active = observations.event_activity(_star(spark, d)).filter("event_id % 3 <> 0")
+    active = observations.event_activity(_star(spark, d))
     return pipeline.cumulative_shift(None, before, after, active).select("event_id", r6("dx_m", "dx_m"), r6("dz_m", "dz_m"), r6("dt0_s", "dt0_s"))
 
 
@@ -349,13 +349,13 @@ def bias_applied(spark, d):
 
 
 @query("""
-s AS (SELECT t.event_id, t.theta_s AS v FROM theta t WHERE t.station = 'R0'),
+s AS (SELECT t.event_id, t.theta_s AS v FROM theta t),
 g AS (SELECT event_id, count(*) AS n_valid, median(v) AS c, quantile_cont(v, 0.025) AS lo, quantile_cont(v, 0.975) AS hi, var_samp(v) AS cov FROM s GROUP BY event_id)
 SELECT event_id, n_valid, round(c, 9) AS center, round(lo, 9) AS lower, round(hi, 9) AS upper, round(cov, 6) AS cov FROM g
 """)
 def bootstrap_summary(spark, d):
-    t = views.theta(spark, d).filter("station = 'R0'")
-    samples = t.select(F.lit(1).alias("replicate"), "event_id", F.col("theta_s").alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("z"))
+    t = views.theta(spark, d)
+    samples = t.select(F.dense_rank().over(Window.partitionBy("event_id").orderBy("station", "phase")).alias("replicate"), "event_id", F.col("theta_s").alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("z"))
     nominal = t.select("event_id").distinct().select("event_id", *[F.lit(0.0).alias(a) for a in "xyz"])
     out = uncertainty.bootstrap_summary(samples, nominal, nominal, 10, default_config()["uncertainty"]["bootstrap"])
     cov = F.when(~F.isnan("cov_xx_m2"), F.round("cov_xx_m2", 6))
@@ -364,21 +364,22 @@ def bootstrap_summary(spark, d):
 
 @query()
 def relocation(spark, d):
-    """Stage 1 over the star observations with a few outer iterations."""
-    options = default_config()["prelocation"] | {"max_outer_iterations": 3}
+    """Stage 1 over the star observations."""
+    options = default_config()["prelocation"]
     state, _ = solver.relocate(views.points(spark, d), _frame_stations(spark, d), _star(spark, d), traveltime.ConstantModel(), options)
     return state
 
 
 @query()
 def theta_bias_scan(spark, d):
-    options = default_config()["experimental"]["bias"] | {"minimum_observations": 5}
+    options = default_config()["experimental"]["bias"]
     return bias.scan_theta_bias(_star(spark, d), views.points(spark, d), _frame_stations(spark, d), traveltime.ConstantModel(), options)
 
 
 @query()
 def graph_augmented(spark, d):
-    config = default_config()["graph"] | {"neighbors": 4, "maximum_degree": 3, "ensure_connected": True, "augmentation": {"enabled": True, "candidate_neighbors": 12, "add_edges": 20, "add_edges_per_event": 0.0, "maximum_added_per_event": 3, "power_iterations": 5}}
+    config = default_config()["graph"]
+    config = config | {"ensure_connected": True, "augmentation": config["augmentation"] | {"enabled": True}}
     edges, _ = graph.build_event_graph(views.points(spark, d), views.catalog(spark, d), config)
     return edges
 
@@ -386,4 +387,4 @@ def graph_augmented(spark, d):
 @query()
 def linearized_uncertainty(spark, d):
     options = default_config()
-    return uncertainty.linearized(views.points(spark, d), _frame_stations(spark, d), _star(spark, d), traveltime.ConstantModel(), options["prelocation"], options["uncertainty"]["linearized"] | {"probes": 2})
+    return uncertainty.linearized(views.points(spark, d), _frame_stations(spark, d), _star(spark, d), traveltime.ConstantModel(), options["prelocation"], options["uncertainty"]["linearized"])
