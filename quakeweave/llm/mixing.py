@@ -27,8 +27,8 @@ from quakeweave.llm._common import NULL_ID, keyed, table, unkeyed, written
 
 WEIGHTS, SHARE, REPEATS, BLOCK = (5, 2, 1), 1.5, 2, 256
 WORD = r"[^\x20\x09-\x0D]+"
-#: Documents to a bucket of a source's order, slots to a chunk and to a cell of the schedule.
-BUCKET, CHUNK, CELL = 2000, 16384, 4096
+#: Documents to a bucket of a source's order, slots to a chunk of the schedule, cells of it for each source.
+BUCKET, CHUNK, CELLS = 2000, 16384, 16
 BITS = 44
 
 
@@ -50,7 +50,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
 
 
 def _key():
-    return F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")).alias("_key")
+    return F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")).alias("_key")
 
 
 def ordered(docs: DataFrame, seed: int = 0) -> DataFrame:
@@ -76,11 +76,11 @@ def schedule(sources: DataFrame, block: int = BLOCK) -> DataFrame:
     every = Window.partitionBy(F.lit(0))
     running = every.orderBy("_key").rowsBetween(Window.unboundedPreceding, 0)
     sources = sources.withColumns({"_hi": F.sum("need").over(running), "_all": F.sum("need").over(every)}).withColumn("_lo", F.col("_hi") - F.col("need"))
-    total, least = sources.agg(F.sum("need"), F.min("need")).first()
+    total, least, kinds = sources.agg(F.sum("need"), F.min("need"), F.count("*")).first()
     total, least = total or 0, least or 1
     # so many more slots that every source's share of the points reaches its need (the points' discrepancy is at most log2(n)/3+1)
     slots = total + math.ceil(2 * (math.log2(total + 2) / 3 + 2) * total / least)
-    cells = slots // CELL + 1
+    cells = CELLS * kinds + 1
     cell = lambda x: F.floor(F.col(x) * cells / F.col("_all"))
     spans = sources.withColumn("_cell", F.explode(F.sequence(F.greatest(cell("_lo") - 1, F.lit(0)), F.least(cell("_hi") + 1, F.lit(cells)))))
     points = spark.range(slots).select(F.col("id").alias("slot"), (F.conv(F.reverse(F.lpad(F.bin("id"), BITS, "0")), 2, 10).cast("double") / float(1 << BITS)).alias("_u"))
@@ -125,12 +125,12 @@ def taken(mixed: DataFrame) -> DataFrame:
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The documents as the mix holds them: a row for each pass that takes words of one, its text cut after the last word taken."""
     passes = mix(docs, **options).filter("n_words > 0").groupBy("_key", "row", "did", "uid", "pass").agg(F.sum("n_words").alias("_taken"), F.max("size").alias("_size"))
-    # equal rows share (did, uid): the n-th of them takes the n-th lot
-    nth = Window.partitionBy("did", "uid", "pass").orderBy(F.col("_taken").desc())
-    passes = passes.withColumn("_nth", F.row_number().over(nth)).select(F.col("did").alias("_did"), F.col("uid").alias("_uid"), "_nth", "_taken", "_size")
-    ids = docs.withColumns({"_did": F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)), "_uid": F.xxhash64("doc_id", "text")})
-    ids = ids.withColumn("_nth", F.row_number().over(Window.partitionBy("_did", "_uid").orderBy(F.lit(0))))
-    out = ids.join(passes, ["_did", "_uid", "_nth"])
+    # equal rows of a source share (did, uid): the n-th of them takes the n-th lot
+    nth = Window.partitionBy("_key", "did", "uid", "pass").orderBy(F.col("_taken").desc())
+    passes = passes.withColumn("_nth", F.row_number().over(nth)).select("_key", F.col("did").alias("_did"), F.col("uid").alias("_uid"), "_nth", "_taken", "_size")
+    ids = docs.withColumns({"_did": F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)), "_uid": F.xxhash64("doc_id", "text"), "_key": _key()})
+    ids = ids.withColumn("_nth", F.row_number().over(Window.partitionBy("_key", "_did", "_uid").orderBy(*[F.col(c) for c in docs.columns])))
+    out = ids.join(passes, ["_key", "_did", "_uid", "_nth"])
     pieces = F.split("text", r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
     text = F.when(F.col("_taken") < F.col("_size"), F.array_join(F.slice(pieces, 1, F.greatest(F.col("_taken").cast("int"), F.lit(1))), "")).otherwise(F.col("text"))
     out = out.withColumn("text", text)

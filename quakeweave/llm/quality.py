@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from quakeweave.llm._common import let, table, words, written
 
 ROUNDS, PRIOR, KEEP = 25, 0.8, 0.5
+#: Words among which distinct ones are counted at a time, so that a text's variety does not depend on its length.
+STRETCH = 1000
 #: Where the estimation starts: a vote's probability among clean and among other documents.
 START = {1: (0.9, 0.4), 0: (0.09, 0.1), -1: (0.01, 0.5)}
 SYMBOLS = r"[#*$%&|<>]"
@@ -41,12 +43,14 @@ def _covered(window: Column) -> Column:
 
 def _of_words(w: Column) -> Column:
     h = F.transform(w, lambda x: F.xxhash64(x))
+    starts = F.sequence(F.lit(0), F.floor(F.size(w) / STRETCH).cast("int"))
+    stretches = let(h, lambda a: F.transform(starts, lambda k: F.size(F.array_distinct(F.slice(a, k * STRETCH + 1, F.lit(STRETCH)))).cast("long")))
     window = let(h, lambda a: F.transform(F.slice(a, 1, F.greatest(F.size(a) - 2, F.lit(0))), lambda x, i: F.xxhash64(x, F.get(a, i + 1), F.get(a, i + 2))))
     return F.struct(
         F.size(w).cast("long").alias("n_words"),
         F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
         let(window, _covered).cast("long").alias("n_repeat_words"),
-        F.size(F.array_distinct(h)).cast("long").alias("n_distinct"),
+        F.aggregate(stretches, F.lit(0).cast("long"), lambda a, x: a + x).alias("n_distinct"),
     )
 
 
@@ -84,7 +88,7 @@ def rules() -> dict[str, Column]:
         "repeats": _vote(c("n_repeat_words") * 20 <= n, c("n_repeat_words") * 5 > n),
         "letters": _vote(c("n_letters") * 100 >= chars * 90, c("n_letters") * 100 < chars * 75),
         "capitals": _vote(c("n_capitals") * 100 <= c("n_letters") * 10, c("n_capitals") * 100 > c("n_letters") * 30),
-        "variety": _vote((c("n_distinct") * 100 >= n * 35) | (c("n_words") > 2000), (c("n_distinct") * 100 < n * 15) & (c("n_words") <= 2000)),
+        "variety": _vote(c("n_distinct") * 100 >= n * 35, c("n_distinct") * 100 < n * 15),
     }
 
 
@@ -121,11 +125,12 @@ def estimate(votes: DataFrame, names: list[str], rounds: int = ROUNDS) -> tuple[
     return model, prior
 
 
-def scored(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """Per row: doc_id, uid, MEASURES, base_failed, a vote_ column per rule, p_clean, kept."""
+def scored(docs: DataFrame, rounds: int = ROUNDS, whole: bool = False) -> DataFrame:
+    """Per row: doc_id, uid, MEASURES, base_failed, a vote_ column per rule, p_clean, kept; with whole also _row, the row's own columns."""
     text = F.col("text").cast("string")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("uid"), measures(text).alias("m"))
-    rows = rows.select("doc_id", "uid", *[(F.col("m.lines") if k in ("n_lines", "n_dup_lines") else F.col("m"))[k].alias(k) for k in MEASURES])
+    carried = [F.struct(*docs.columns).alias("_row")] if whole else []
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("uid"), measures(text).alias("m"), *carried)
+    rows = rows.select("doc_id", "uid", *[(F.col("m.lines") if k in ("n_lines", "n_dup_lines") else F.col("m"))[k].alias(k) for k in MEASURES], *[c for c in rows.columns if c == "_row"])
     votes = rules()
     names = [f"vote_{k}" for k in votes]
     rows = written(rows.withColumns({f"vote_{k}": v for k, v in votes.items()}), "measures")
@@ -137,8 +142,7 @@ def scored(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
 
 def kept_documents(docs: DataFrame) -> DataFrame:
     """The documents whose verdict is to keep, all their columns."""
-    good = scored(docs).filter("kept").select(F.col("uid").alias("_uid")).distinct()
-    return docs.withColumn("_uid", F.xxhash64("doc_id", "text")).join(good, "_uid", "left_semi").select(*docs.columns)
+    return scored(docs, whole=True).filter("kept").select("_row.*")
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
