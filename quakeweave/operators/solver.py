@@ -80,19 +80,26 @@ def _vector(e: str, sign: float = 1.0) -> list[Column]:
     return [sign * F.col(f"g{e}{d}") for d in "xyz"] + [F.lit(sign)]
 
 
+BLOCK = [f"m{p}{q}" for p in range(4) for q in range(4)] + [f"r{p}" for p in range(4)] + ["wrr", "w"]
+
+
 def blocks(rows: DataFrame) -> DataFrame:
-    """(a, b, m00..m33, r0..r3): normal blocks, a = b with the right side, and a < b for pairs, from weighted() rows."""
-    names = [f"m{p}{q}" for p in range(4) for q in range(4)]
-    ends = None
-    for e, sign in (("i", 1.0), ("j", -1.0)):
-        v = _vector(e, sign)
-        part = rows.select(F.col(e).alias("a"), F.col(e).alias("b"), *[(F.col("w") * v[p] * v[q]).alias(f"m{p}{q}") for p in range(4) for q in range(4)], *[(F.col("w") * F.col("r") * v[p]).alias(f"r{p}") for p in range(4)])
-        ends = part if ends is None else ends.unionByName(part)
-    vi, vj = _vector("i"), _vector("j")
+    """(a, b, m00..m33, r0..r3, wrr, w): normal blocks, a = b with the right side, and a < b for pairs, from weighted() rows.
+
+    wrr and w, of a pair, are the sums of w r r and w over its observations.  An observation is read once and
+    gives its three blocks together.
+    """
+    w, r, zero = F.col("w"), F.col("r"), F.lit(0.0)
+    vi, vj = _vector("i"), _vector("j", -1.0)
     flip = F.col("i") > F.col("j")
     first, second = [F.when(flip, y).otherwise(x) for x, y in zip(vi, vj, strict=True)], [F.when(flip, x).otherwise(y) for x, y in zip(vi, vj, strict=True)]
-    cross = rows.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), *[(-F.col("w") * first[p] * second[q]).alias(f"m{p}{q}") for p in range(4) for q in range(4)], *[F.lit(0.0).alias(f"r{p}") for p in range(4)])
-    return ends.unionByName(cross).groupBy("a", "b").agg(*[F.sum(n).alias(n) for n in names], *[F.sum(f"r{p}").alias(f"r{p}") for p in range(4)])
+
+    def block(a: Column, b: Column, left: list[Column], right: list[Column], own: bool) -> Column:
+        values = [w * x * y for x in left for y in right] + [w * r * x if own else zero for x in left] + ([zero, zero] if own else [w * r * r, w])
+        return F.struct(a.alias("a"), b.alias("b"), *[v.alias(n) for v, n in zip(values, BLOCK, strict=True)])
+
+    each = [block(F.col("i"), F.col("i"), vi, vi, True), block(F.col("j"), F.col("j"), vj, vj, True), block(F.least("i", "j"), F.greatest("i", "j"), first, second, False)]
+    return rows.select(F.explode(F.array(*each)).alias("e")).select("e.*").groupBy("a", "b").agg(*[F.sum(n).alias(n) for n in BLOCK])
 
 
 class System:
@@ -250,12 +257,11 @@ def assembled(obs: DataFrame, state: DataFrame, stations: DataFrame, model, opti
     """(system, robust RMS of the residuals) at a state: one Spark job."""
     rows = weighted(predicted(obs, state, stations, model), float(options["min_sigma_s"]), float(options["huber_k"]))
     table = written(blocks(rows), "blocks")
-    # the diagonal's right side and the sums of the RMS come from the same rows
-    sums = rows.agg(F.sum(F.col("w") * F.col("r") * F.col("r")), F.sum("w")).first()
+    wrr, w, n = table.agg(F.sum("wrr"), F.sum("w"), F.count("*")).first()
     damping = max(float(options["damping_lambda"]), 1e-8)
-    small = table.count() <= DRIVER_BLOCKS
+    small = n <= DRIVER_BLOCKS
     system = System(ids, table.toPandas(), gauge, damping) if small else TableSystem(ids, table, gauge, damping)
-    return system, float(np.sqrt(sums[0] / max(sums[1], EPSILON)))
+    return system, float(np.sqrt((wrr or 0.0) / max(w or 0.0, EPSILON)))
 
 
 def relocate(state: DataFrame, stations: DataFrame, obs: DataFrame, model, options: dict, *, kind: str = "origin_time", weight: float = 10.0, velocity: float = 5000.0, frozen: dict[int, str] | None = None, bound: Bound | None = None) -> tuple[DataFrame, Stats]:
