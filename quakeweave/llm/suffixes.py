@@ -1,12 +1,13 @@
 """Exact removal of repeated byte windows by a depth-limited radix sort of suffixes.
 
-Every suffix of every text's UTF-8 bytes that has ``depth`` bytes or more is ordered
-through its first ``depth`` bytes only, by passes from the most significant digit on;
-suffixes that are alone in their group after a pass are done, and the groups left
-after the last pass are exactly the repeated windows.
+Every suffix of every text's UTF-8 bytes is ordered through its first ``depth`` bytes
+only, by passes from the most significant digit on; suffixes that are alone in their group
+after a pass are done, and the groups left after the last pass are exactly the repeated
+windows.  The groups on the way, after ``passage`` bytes, are the shorter windows that
+repeat; they are reported as well, but nothing is removed for them.
 
 * Pass 0, over all suffixes, deals them by their rarest gram: of the 64-bit hashes of
-  the ``GRAM``-byte grams within the first ``depth`` bytes, the least.  It depends on
+  the ``GRAM``-byte grams within the first ``passage`` bytes, the least.  It depends on
   those bytes alone, so equal windows get the same bucket.  Neighbouring suffixes share
   their gram, so a bucket's members are runs of suffixes: (document, first, count).
   Buckets of one run are dropped; no equal windows lie in different buckets.
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 from quakeweave.llm._common import NULL_ID, keyed, parts, table, written
 from quakeweave.llm.hashing import M3, mix, small
 
-DEPTH, GRAM, DIGIT, HOT, STEP = 400, 128, 200, 10_000, 34
+DEPTH, PASSAGE, GRAM, DIGIT, HOT, STEP = 400, 256, 96, 128, 10_000, 34
 #: Bytes of text that are hashed at a time; longer texts are taken in overlapping segments.
 SEGMENT = 2 << 20
 _BYTES = mix((np.arange(256, dtype=np.uint64) + np.uint64(1)) * M3)
@@ -135,8 +136,8 @@ def _runs(texts: DataFrame, depth: int, gram: int) -> DataFrame:
     return texts.mapInArrow(run, "did long, uid long, key long, first long, n int, gram long, leads boolean")
 
 
-def _bodies(chosen: DataFrame, depth: int) -> DataFrame:
-    """(key, did, uid, first, body): a run's bytes; with a step, parted and dealt by what step suffixes have in common."""
+def _bodies(chosen: DataFrame, depth: int, passage: int) -> DataFrame:
+    """(key, did, uid, first, n, body): a run's bytes, as far as its n suffixes go; with a step, parted and dealt by what step suffixes have in common."""
 
     def run(batches):
         for batch in batches:
@@ -154,11 +155,11 @@ def _bodies(chosen: DataFrame, depth: int) -> DataFrame:
                     rows = [] if step else [(r["key"], first, last)]
                     for d in range((gram - last) // step, (gram - first) // step + 1) if step else ():
                         high = gram - d * step  # the last suffix of this part, if the run holds it
-                        common = data[high : high - step + 1 + depth].to_pybytes()
+                        common = data[high : high - step + 1 + passage].to_pybytes()
                         rows.append((xxhash.xxh3_64_intdigest(common, (r["key"] + d) & (1 << 63) - 1) - (1 << 63), max(first, high - step + 1), min(last, high)))
                     for key, lo, hi in rows:
                         body = data[lo : hi + depth].to_pybytes()
-                        for column, value in zip(out, (key, did.as_py(), uid.as_py(), lo, body), strict=True):
+                        for column, value in zip(out, (key, did.as_py(), uid.as_py(), lo, hi - lo + 1, body), strict=True):
                             column.append(value)
                         size += len(body)
                     if size > SEGMENT:
@@ -169,114 +170,130 @@ def _bodies(chosen: DataFrame, depth: int) -> DataFrame:
     return chosen.mapInArrow(run, _BODY_SCHEMA)
 
 
-_BODY, _BODY_TYPES = ["key", "did", "uid", "first", "body"], [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-_BODY_SCHEMA = "key long, did long, uid long, first long, body binary"
+_BODY, _BODY_TYPES = ["key", "did", "uid", "first", "n", "body"], [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+_BODY_SCHEMA = "key long, did long, uid long, first long, n int, body binary"
 
 
-def radix_groups(keys: np.ndarray, bodies: list[bytes], times: np.ndarray, rolling: Rolling, depth: int, digit: int) -> tuple[np.ndarray, np.ndarray]:
-    """(body number, offset) of every suffix of depth bytes that equals another of the same key; times tells how often a body stands."""
+def radix_groups(keys: np.ndarray, bodies: list[bytes], counts: np.ndarray, times: np.ndarray, rolling: Rolling, depths: tuple[int, ...], digit: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each of the ascending depths, (body number, offset) of every suffix whose first so many bytes equal another's of the same key.
+
+    counts are the suffixes of each body; times tells how often a body stands.
+    """
     sizes = np.array([len(b) for b in bodies], np.int64)
-    counts = sizes - depth + 1
     start = np.cumsum(sizes) - sizes
     of = np.repeat(np.arange(len(bodies)), counts)
     offset = np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts)
     place, again = start[of] + offset, (times > 1)[of]
     group = mix(keys.view(np.uint64))[of]
     sums = rolling.sums(np.frombuffer(b"".join(bodies), np.uint8))
-    alive = np.arange(len(of))
-    for at in range(0, depth, digit):
-        name = mix(group[alive] * M3 + rolling.at(sums, place[alive] + at, min(digit, depth - at)))
-        order = np.argsort(name)
-        s = name[order]
-        same = s[1:] == s[:-1]
-        keep = again[alive][order]
-        keep[1:] |= same
-        keep[:-1] |= same
-        group[alive] = name
-        alive = alive[np.sort(order[keep])]
-        if not len(alive):
-            break
-    return of[alive], offset[alive]
-
-
-def _spans(sent: DataFrame, depth: int, digit: int) -> DataFrame:
-    """(did, uid, start, end) of bytes covered by repeated windows; input sorted by key and body."""
-
-    def work(rolling, keys, bodies, owners):
-        of, offset = radix_groups(np.array(keys, np.int64), bodies, np.array([len(o) for o in owners]), rolling, depth, digit)
-        new = np.ones(len(of), bool)
-        new[1:] = (of[1:] != of[:-1]) | (offset[1:] != offset[:-1] + 1)
-        at = np.flatnonzero(new)
-        lo, hi = offset[at], offset[np.append(at[1:], len(of)) - 1] + depth if len(of) else offset
-        rows = [(did, uid, first + a, first + b) for k, a, b in zip(of[at].tolist(), lo.tolist(), hi.tolist(), strict=True) for did, uid, first in owners[k]]
-        return pa.record_batch([pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else ((), (), (), ()))], ["did", "uid", "start", "end"])
+    alive, at, out = np.arange(len(of)), 0, []
+    for depth in depths:
+        alive = alive[offset[alive] + depth <= sizes[of[alive]]]
+        while at < depth and len(alive):
+            step = min(digit, depth - at)
+            name = mix(group[alive] * M3 + rolling.at(sums, place[alive] + at, step))
+            order = np.argsort(name)
+            s = name[order]
+            same = s[1:] == s[:-1]
+            keep = again[alive][order]
+            keep[1:] |= same
+            keep[:-1] |= same
+            group[alive] = name
+            alive = alive[np.sort(order[keep])]
+            at += step
+        at = depth
+        out.append((of[alive], offset[alive]))
+    return out
+
+
+def _spans(sent: DataFrame, depths: tuple[int, ...], digit: int) -> DataFrame:
+    """(did, uid, depth, start, end) of bytes covered by repeated windows of each depth; input sorted by key, body and n."""
+
+    def work(rolling, keys, bodies, counts, owners):
+        rows = []
+        found = radix_groups(np.array(keys, np.int64), bodies, np.array(counts), np.array([len(o) for o in owners]), rolling, depths, digit)
+        for depth, (of, offset) in zip(depths, found, strict=True):
+            new = np.ones(len(of), bool)
+            new[1:] = (of[1:] != of[:-1]) | (offset[1:] != offset[:-1] + 1)
+            at = np.flatnonzero(new)
+            lo, hi = offset[at], offset[np.append(at[1:], len(of)) - 1] + depth if len(of) else offset
+            rows += [(did, uid, depth, first + a, first + b) for k, a, b in zip(of[at].tolist(), lo.tolist(), hi.tolist(), strict=True) for did, uid, first in owners[k]]
+        return pa.record_batch([pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else ((),) * 5)], ["did", "uid", "depth", "start", "end"])
 
     def run(batches):
         rolling = Rolling()
-        keys, bodies, owners, size = [], [], [], 0
+        keys, bodies, counts, owners, size = [], [], [], [], 0
         for batch in batches:
-            for key, did, uid, first, body in zip(*(batch.column(c).to_pylist() for c in _BODY), strict=True):
-                if keys and key == keys[-1] and body == bodies[-1]:
+            for key, did, uid, first, n, body in zip(*(batch.column(c).to_pylist() for c in _BODY), strict=True):
+                if keys and key == keys[-1] and n == counts[-1] and body == bodies[-1]:
                     owners[-1].append((did, uid, first))
                     continue
                 if keys and key != keys[-1] and size > SEGMENT:
-                    yield work(rolling, keys, bodies, owners)
-                    keys, bodies, owners, size = [], [], [], 0
+                    yield work(rolling, keys, bodies, counts, owners)
+                    keys, bodies, counts, owners, size = [], [], [], [], 0
                 keys.append(key)
                 bodies.append(body)
+                counts.append(n)
                 owners.append([(did, uid, first)])
                 size += len(body)
         if keys:
-            yield work(rolling, keys, bodies, owners)
+            yield work(rolling, keys, bodies, counts, owners)
 
-    return sent.mapInArrow(run, "did long, uid long, start long, end long")
+    return sent.mapInArrow(run, "did long, uid long, depth long, start long, end long")
 
 
-def repeated_spans(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM, digit: int = DIGIT, hot: int = HOT) -> DataFrame:
-    """(did, uid, start, end): bytes that a repeated window covers; spans of a document may overlap."""
-    spark = docs.sparkSession
-    return _repeated(spark, keyed(docs), depth, gram, digit, hot)
+def repeated_spans(docs: DataFrame, depth: int = DEPTH, passage: int = PASSAGE, gram: int = GRAM, digit: int = DIGIT, hot: int = HOT) -> DataFrame:
+    """(did, uid, depth, start, end): bytes that a repeated window of depth or passage bytes covers; spans of a document may overlap."""
+    return _repeated(keyed(docs), depth, passage, gram, digit, hot)
 
 
-def _repeated(spark, texts: DataFrame, depth: int, gram: int, digit: int, hot: int) -> DataFrame:
-    runs = written(_runs(texts, depth, gram), "runs")
+def _repeated(texts: DataFrame, depth: int, passage: int, gram: int, digit: int, hot: int) -> DataFrame:
+    spark, passage = texts.sparkSession, min(passage, depth)
+    runs = written(_runs(texts, passage, gram), "runs")
     step = F.when(F.col("led") <= hot, 0).when(F.col("led") <= STEP * hot, STEP).otherwise(1)
     buckets = runs.groupBy("key").agg(F.count("*").alias("c"), F.count_if("leads").alias("led")).filter("c > 1").select("key", step.alias("step"))
     chosen = runs.join(buckets, "key").groupBy("did", "uid").agg(F.collect_set(F.struct("first", "n", "gram", "key", "step")).alias("runs"))
-    sent = _bodies(texts.join(chosen, ["did", "uid"]), depth)
-    return _spans(sent.repartition(parts(spark), "key").sortWithinPartitions("key", "body"), depth, digit)
+    sent = _bodies(texts.join(chosen, ["did", "uid"]), depth, passage)
+    return _spans(sent.repartition(parts(spark), "key").sortWithinPartitions("key", "body", "n"), tuple(sorted({passage, depth})), digit)
 
 
-def without_repeats(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM, digit: int = DIGIT, hot: int = HOT) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept (binary: what is left of the text's bytes)."""
+def without_repeats(docs: DataFrame, depth: int = DEPTH, passage: int = PASSAGE, gram: int = GRAM, digit: int = DIGIT, hot: int = HOT) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept (binary: what is left of the text's bytes), n_passage (bytes that repeated windows of passage bytes cover)."""
     texts = keyed(docs)
-    spans = _repeated(docs.sparkSession, texts, depth, gram, digit, hot)
-    by_doc = spans.groupBy("did", "uid").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    spans = _repeated(texts, depth, passage, gram, digit, hot)
+    part = lambda shown: F.collect_set(F.when(F.col("depth") == shown, F.struct("start", "end")))
+    by_doc = spans.groupBy("did", "uid").agg(part(depth).alias("spans"), part(min(passage, depth)).alias("passages"))
+
+    def runs_of(spans):
+        """Disjoint (start, end), in order."""
+        out = []
+        for s, e in sorted((x["start"], x["end"]) for x in spans or ()):
+            if out and s <= out[-1][1]:
+                out[-1][1] = max(out[-1][1], e)
+            else:
+                out.append([s, e])
+        return out
 
     def run(batches):
         for batch in small(batches):
-            out = ([], [], [], [], [])
-            for did, text, spans in zip(*(batch.column(c) for c in ("did", "text", "spans")), strict=True):
+            out = tuple([] for _ in names)
+            for did, text, spans, passages in zip(*(batch.column(c) for c in ("did", "text", "spans", "passages")), strict=True):
                 data = text.as_py().encode() if text.is_valid else b""
-                kept, at, removed, n = [], 0, 0, 0
-                for s, e in sorted((x["start"], x["end"]) for x in spans.as_py() or ()):
-                    if s > at or (s == 0 and n == 0):
-                        kept.append(data[at:s])
-                        n += 1
-                    removed += max(0, e - max(s, at))
-                    at = max(at, e)
-                kept.append(data[at:])
+                gone = runs_of(spans.as_py())
+                kept = b"".join(data[a:b] for a, b in zip([0, *(e for _, e in gone)], [*(s for s, _ in gone), len(data)], strict=True))
                 d = did.as_py()
-                for column, value in zip(out, (None if d == NULL_ID else d, len(data), removed, n, b"".join(kept)), strict=True):
+                row = (None if d == NULL_ID else d, len(data), len(data) - len(kept), len(gone), kept, sum(e - s for s, e in runs_of(passages.as_py())))
+                for column, value in zip(out, row, strict=True):
                     column.append(value)
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(out, (*[pa.int64()] * 4, pa.binary()), strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+            yield pa.record_batch([pa.array(c, pa.binary() if n == "kept" else pa.int64()) for c, n in zip(out, names, strict=True)], names)
 
-    return texts.join(by_doc, ["did", "uid"], "left").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "n_passage"]
+    return texts.join(by_doc, ["did", "uid"], "left").mapInArrow(run, ", ".join(f"{n} {'binary' if n == 'kept' else 'long'}" for n in names))
 
 
 def op5_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = without_repeats(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "n_passage")
 
 
 QUERIES = {"op5_suffixes": op5_suffixes}

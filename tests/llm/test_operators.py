@@ -218,21 +218,25 @@ def test_good_turing(of):
 
 @pytest.mark.parametrize("hot", [suffixes.HOT, 1, 0])
 def test_suffixes(docs, rows, hot):
-    depth, gram = 60, 20
+    depth, passage, gram = 60, 45, 20
     texts = [(r[1] or "").encode() for r in rows]
-    count = Counter(t[i : i + depth] for t in texts for i in range(len(t) - depth + 1))
+    count = {n: Counter(t[i : i + n] for t in texts for i in range(len(t) - n + 1)) for n in (depth, passage)}
 
-    def brute(t):
+    def covered(t, n):
         cover = bytearray(len(t))
-        for i in range(len(t) - depth + 1):
-            if count[t[i : i + depth]] > 1:
-                cover[i : i + depth] = b"\1" * depth
+        for i in range(len(t) - n + 1):
+            if count[n][t[i : i + n]] > 1:
+                cover[i : i + n] = b"\1" * n
+        return cover
+
+    def brute(t):
+        cover = covered(t, depth)
         kept = bytes(x for x, c in zip(t, cover, strict=True) if not c)
-        return len(t), sum(cover), sum(c and (i == 0 or not cover[i - 1]) for i, c in enumerate(cover)), kept
+        return len(t), sum(cover), sum(c and (i == 0 or not cover[i - 1]) for i, c in enumerate(cover)), kept, sum(covered(t, passage))
 
-    got = suffixes.without_repeats(docs, depth=depth, gram=gram, digit=30, hot=hot).collect()
+    got = suffixes.without_repeats(docs, depth=depth, passage=passage, gram=gram, digit=30, hot=hot).collect()
     form = lambda it: sorted(it, key=repr)
-    assert form((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in got) == form((r[0], *brute(t)) for r, t in zip(rows, texts, strict=True))
+    assert form((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"]), r["n_passage"]) for r in got) == form((r[0], *brute(t)) for r, t in zip(rows, texts, strict=True))
 
 
 @pytest.mark.parametrize(("n", "percent", "hot"), [(3, 90, jaccard.HOT), (5, 80, jaccard.HOT), (1, 60, jaccard.HOT), (3, 90, 2)])
