@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quakeweave.llm._common import NULL_ID, keyed, parts, table, written
+from quakeweave.llm._common import NULL_ID, drop, keyed, parts, table, written
 from quakeweave.llm.hashing import M3, mix, small
 
 DEPTH, PASSAGE, GRAM, DIGIT, HOT, STEP = 400, 256, 96, 128, 10_000, 34
@@ -254,7 +254,9 @@ def _repeated(texts: DataFrame, depth: int, passage: int, gram: int, digit: int,
     buckets = runs.groupBy("key").agg(F.count("*").alias("c"), F.count_if("leads").alias("led")).filter("c > 1").select("key", step.alias("step"))
     chosen = runs.join(buckets, "key").groupBy("did", "uid").agg(F.collect_set(F.struct("first", "n", "gram", "key", "step")).alias("runs"))
     sent = _bodies(texts.join(chosen, ["did", "uid"]), depth, passage)
-    return _spans(sent.repartition(parts(spark), "key").sortWithinPartitions("key", "body", "n"), tuple(sorted({passage, depth})), digit)
+    spans = written(_spans(sent.repartition(parts(spark), "key").sortWithinPartitions("key", "body", "n"), tuple(sorted({passage, depth})), digit), "spans")
+    drop(runs)
+    return spans
 
 
 def without_repeats(docs: DataFrame, depth: int = DEPTH, passage: int = PASSAGE, gram: int = GRAM, digit: int = DIGIT, hot: int = HOT) -> DataFrame:
