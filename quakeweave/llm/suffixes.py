@@ -252,10 +252,12 @@ def _repeated(texts: DataFrame, depth: int, passage: int, gram: int, digit: int,
     runs = written(_runs(texts, passage, gram), "runs")
     step = F.when(F.col("led") <= hot, 0).when(F.col("led") <= STEP * hot, STEP).otherwise(1)
     buckets = runs.groupBy("key").agg(F.count("*").alias("c"), F.count_if("leads").alias("led")).filter("c > 1").select("key", step.alias("step"))
-    chosen = runs.join(buckets, "key").groupBy("did", "uid").agg(F.collect_set(F.struct("first", "n", "gram", "key", "step")).alias("runs"))
+    # each table cuts the shuffles behind it, so that those of two steps are never on disk together
+    chosen = written(runs.join(buckets, "key").groupBy("did", "uid").agg(F.collect_set(F.struct("first", "n", "gram", "key", "step")).alias("runs")), "chosen")
+    drop(runs)
     sent = _bodies(texts.join(chosen, ["did", "uid"]), depth, passage)
     spans = written(_spans(sent.repartition(parts(spark), "key").sortWithinPartitions("key", "body", "n"), tuple(sorted({passage, depth})), digit), "spans")
-    drop(runs)
+    drop(chosen)
     return spans
 
 
