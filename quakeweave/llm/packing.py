@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quakeweave.llm._common import parts, table, written
+from quakeweave.llm.hashing import small
 
 CAPACITY, END_ID, ROUNDS = 1024, 2, 1200
 #: Fixed value: how byte-level BPE tokenizers of this family part a text into words.

@@ -1,7 +1,9 @@
 """PII surrogates: keyed, type-consistent replacements for detected entities.
 
 One pattern, whose branches are tried in order, finds e-mail addresses, access keys,
-hexadecimal secrets, payment cards, phone numbers, IPv4 addresses and persons' names.
+hexadecimal secrets, bank accounts, payment cards, social security numbers, phone numbers,
+IPv4 addresses and persons' names (a listed given name and a capitalised word; names alone,
+other given names and IPv6 addresses are not found).
 A value's surrogate is drawn from a keyed hash of its type and value, so every mention
 of it in any document gets the same one (coreference).  Digits become digits, letters
 letters of the same case and script, all else stays; phone numbers keep their country; cards keep their issuer digit and
@@ -36,14 +38,16 @@ SURNAMES = {
     "Cyrillic": "Иванов Смирнов Кузнецов Попов Васильев Петров Соколов Михайлов Новиков Фёдоров".split(),
 }
 #: Kinds in the order of their branches.
-KINDS = ("email", "key", "secret", "card", "phone", "ip", "person")
+KINDS = ("email", "key", "secret", "iban", "card", "ssn", "phone", "ip", "person")
 _NAMES = "|".join(n for names in GIVEN.values() for n in names)
 BRANCHES = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "key": r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b|\b(?:ghp|gho|sk|pk)[_-][A-Za-z0-9]{16,}\b",
     "secret": r"\b(?=[0-9a-fA-F]{32})(?=[0-9a-fA-F]*[0-9])(?=[0-9a-fA-F]*[a-fA-F])[0-9a-fA-F]{32,64}\b",
-    "card": r"(?<![\d.])(?:\d{4}[ -]?){3}\d{4}(?![\d.]\d)(?!\d)",
-    "phone": r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[.-])\d{3}[.-]\d{4}(?!\d)",
+    "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
+    "card": r"(?<![\d.])(?:(?:\d{4}[ -]?){3}\d{4}|3[47]\d{2}[ -]?\d{6}[ -]?\d{5})(?![\d.]\d)(?!\d)",
+    "ssn": r"(?<![\w.-])\d{3}-\d{2}-\d{4}(?![\d-])",
+    "phone": r"(?<![\w.])(?:(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[.-])\d{3}[.-]\d{4}|\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]\d{2,4}){1,4}|0\d(?:[ .]\d{2}){4}|\d{3} \d{3} \d{4})(?!\d)",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?![\d.]*\d)",
     "person": rf"(?=\p{{Lu}})(?<!\p{{L}})(?:{_NAMES}) \p{{Lu}}\p{{L}}+(?!\p{{L}})",
 }
@@ -116,16 +120,19 @@ def _person(value: Column, seed: Column) -> Column:
     given, family = F.regexp_extract(value, r"^(\S+) ", 1), F.regexp_extract(value, r" (\S+)$", 1)
     h, g = _stream(seed, F.lit(0)), _stream(seed, F.lit(1))
     first, last = given, family
-    for (_, script), names in GIVEN.items():
+    for (gender, script), names in GIVEN.items():
         take = lambda pool, x: F.element_at(F.array(*[F.lit(n) for n in pool]), (F.pmod(x, F.lit(len(pool))) + 1).cast("int"))
         first = F.when(given.isin(names), take(names, h)).otherwise(first)
-        last = F.when(given.isin(names), take(SURNAMES[script], g)).otherwise(last)
+        family_names = [n + "а" for n in SURNAMES[script]] if (gender, script) == ("f", "Cyrillic") else SURNAMES[script]
+        last = F.when(given.isin(names), take(family_names, g)).otherwise(last)
     return F.concat(first, F.lit(" "), last)
 
 
 def surrogate(kind: Column, value: Column, key: str, attempt: Column) -> Column:
     seed = F.sha2(F.concat_ws("|", F.lit(key), kind, value, attempt.cast("string")), 256)
-    mail = F.concat(_scramble(F.regexp_extract(value, r"^(.*)\.[^.]*$", 1), seed), F.regexp_extract(value, r"(\.[^.]*)$", 1))
+    # a value with few letters has few surrogates: past the first draws an address is made longer
+    longer = F.when(attempt > 3, F.lower(F.translate(F.substring(F.hex(_stream(seed, F.lit(3))), 1, 6), "0123456789", "ghijklmnop"))).otherwise(F.lit(""))
+    mail = F.concat(longer, _scramble(F.regexp_extract(value, r"^(.*)\.[^.]*$", 1), seed), F.regexp_extract(value, r"(\.[^.]*)$", 1))
     # the names' combinations are few: past the first draws surnames are made longer, so that there is always another
     more = F.when(attempt > 3, F.concat(F.lit("-"), F.initcap(F.translate(F.substring(F.hex(_stream(seed, F.lit(2))), 1, 4), "0123456789", "ghijklmnop")))).otherwise(F.lit(""))
     return (
