@@ -14,87 +14,182 @@ at ``FLATTEST`` or steeper; from such counts every Katz factor lies between 0 an
 history none of whose counts is discounted counts one more event, so that unseen words
 never get probability 0.
 
-The model is two tables: ``words`` (word, its count and probability and, as a history,
-its total and backoff weight) and ``pairs`` (h, w, count).  A text's score is the sum over
-its tokens, each evaluated by the recursion, in documents' counts of each pair and word;
-no document or history is gathered whole.  All pairs of a document that was learnt from
-are in the model, so one that is not among the pairs seen twice or more was seen once, and
-only the other documents' pairs are looked up among all.
+The texts are written once as batches of tokens: a batch's distinct words, and its tokens
+as numbers of them.  A batch asks for the statistics of its distinct words, and of its
+distinct pairs, which travel as sorted arrays of 64-bit hashes, one for each bucket of
+hashes.  A bucket holds about ``BUCKET`` tokens' pairs; it adds up the counts that come
+with them, stores them and answers every batch with an array.  So a pair common to many
+documents crosses the shuffle once a batch, no document or history is gathered whole, and
+each token is evaluated by the recursion where its text is.  (Where a batch has fewer
+tokens than there are buckets, an array holds a pair or two, as a row for each would.)
+Pairs are equal if their hashes are.  Of the batches with a pair one owns it and takes it
+into its history's sums.
+
+The model is two tables: ``words`` (word, its count and probability and, as a history, its
+total and backoff weight) and ``pairs`` (bucket, its pairs' sorted hashes and counts).
 
 Null and empty texts are the end alone.  Rows equal in doc_id and text are scored once
-for each and count once each in training.  An empty training set gives every word the
-one remaining mass, 1 (score 0).
+for each and count once each in training; null doc_ids are kept.  An empty training set
+gives every word the one remaining mass, 1 (score 0).  An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import math
+from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quakeweave.llm._common import NULL_ID, keyed, parts, table, written
+from quakeweave.llm._common import drop, keyed, table, unkeyed, written
 from quakeweave.llm.hashing import M3, WordHasher, flat_words, mix, small
 
 K, FIT, FLATTEST = 5, 10, -1.1
 FOLDS, HELD = 7, 2
+#: Tokens whose pairs a bucket holds, about.
+BUCKET = 2_000_000
 #: Hash keys of the text's edges.
 START, END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 
 
-def _counted(doc: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each document's distinct keys: its number, where one stands, and how many there are."""
-    order = np.lexsort((key, doc))
-    d, k = doc[order], key[order]
-    new = np.ones(len(d), bool)
-    new[1:] = (d[1:] != d[:-1]) | (k[1:] != k[:-1])
-    at = np.flatnonzero(new)
-    return d[at], order[at], np.diff(np.append(at, len(d))).astype(np.int32)
+def _packed(x: np.ndarray) -> bytes:
+    return len(x).to_bytes(8, "little") + pa.compress(np.ascontiguousarray(x, np.int64).tobytes(), codec="zstd", asbytes=True)
 
 
-def _tokens(batch, hasher: WordHasher) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """(document, history, word) of every token, and the number of documents."""
-    words, counts = flat_words(batch.column("text").to_pylist(), hasher)
-    ends = np.cumsum(counts + 1) - 1
-    w = np.empty(len(words) + len(counts), np.uint64)
-    inner = np.ones(len(w), bool)
-    inner[ends] = False
-    w[inner], w[ends] = words, END
-    h = np.empty_like(w)
-    h[1:] = w[:-1]
-    h[ends - counts] = START
-    return np.repeat(np.arange(len(counts)), counts + 1), h, w, len(counts)
+def _unpacked(b: bytes) -> np.ndarray:
+    n = int.from_bytes(b[:8], "little")
+    return np.frombuffer(pa.decompress(b[8:], 8 * n, codec="zstd", asbytes=True), np.int64)
 
 
-def _by_document(docs: DataFrame, pairs: bool) -> DataFrame:
-    """(did, uid, key, n) for each document's distinct words, or (did, uid, h, w, n) for its distinct pairs."""
+class Batch(NamedTuple):
+    """Texts as tokens: each one's ids, whether it is held out and its tokens; the distinct words' hashes (the start's first); every token's word."""
 
-    def run(batches):
-        hasher = WordHasher()
-        for batch in small(batches):
-            doc, h, w, _ = _tokens(batch, hasher)
-            of, at, n = _counted(doc, mix(h * M3 + mix(w)) if pairs else w)
-            ids = [batch.column(c).take(pa.array(of)) for c in ("did", "uid")]
-            keys = [pa.array(x[at].view(np.int64)) for x in ((h, w) if pairs else (w,))]
-            yield pa.record_batch([*ids, *keys, pa.array(n)], names)
+    did: np.ndarray
+    uid: np.ndarray
+    held: np.ndarray
+    counts: np.ndarray
+    vocab: np.ndarray
+    word: np.ndarray
+
+    @property
+    def starts(self) -> np.ndarray:
+        return np.cumsum(self.counts) - self.counts
+
+    @property
+    def history(self) -> np.ndarray:
+        h = np.zeros_like(self.word)
+        h[1:] = self.word[:-1]
+        h[self.starts] = 0
+        return h
+
+    @property
+    def learnt(self) -> np.ndarray:
+        """For each token, whether it is learnt from."""
+        return np.repeat(self.held == 0, self.counts)
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The distinct pairs' hashes, ascending, a token of each, and every token's pair."""
+        spread = self.vocab.view(np.uint64)
+        return np.unique(mix(spread[self.history] * M3 + mix(spread[self.word])), return_index=True, return_inverse=True)
 
-    names = ["did", "uid", *(["h", "w"] if pairs else ["key"]), "n"]
-    return docs.mapInArrow(run, ", ".join(f"{c} long" for c in names[:-1]) + ", n int")
 
+def _batch_of(blobs: list[bytes]) -> Batch:
+    return Batch(*map(_unpacked, blobs))
 
-def _pair_counts(docs: DataFrame) -> DataFrame:
-    """(h, w, c): the counts of each batch's pairs."""
+
+def _tokenised(docs: DataFrame) -> DataFrame:
+    """(did, uid, text, held) -> (bid, n, blobs): batches of tokens, written."""
+
+    def run(batches):
+        hasher, bid = WordHasher(), TaskContext.get().partitionId() << 32
+        for batch in small(batches, rows=1 << 16):
+            words, counts = flat_words(batch.column("text").to_pylist(), hasher)
+            counts = counts + 1
+            all_words = np.empty(int(counts.sum()) + 1, np.uint64)
+            inner = np.ones(len(all_words), bool)
+            inner[np.cumsum(counts)] = inner[0] = False
+            all_words[inner], all_words[~inner], all_words[0] = words, END, START
+            of, vocab = pd.factorize(all_words.view(np.int64))
+            ids = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("did", "uid", "held")]
+            blobs = [_packed(x) for x in (*ids, counts, vocab, of[1:])]
+            yield pa.record_batch([pa.array([bid], pa.int64()), pa.array([len(of) - 1], pa.int64()), pa.array([blobs], pa.list_(pa.binary()))], ["bid", "n", "blobs"])
+            bid += 1
+
+    return written(docs.mapInArrow(run, "bid long, n long, blobs array<binary>"), "tokens")
+
+
+def _asked_words(tokens: DataFrame) -> DataFrame:
+    """(bid, pos, key, n): every batch's distinct words and how often it has them in texts learnt from."""
 
     def run(batches):
-        hasher = WordHasher()
-        for batch in small(batches):
-            _, h, w, _ = _tokens(batch, hasher)
-            _, at, n = _counted(np.zeros(len(w), np.int8), mix(h * M3 + mix(w)))
-            yield pa.record_batch([pa.array(h[at].view(np.int64)), pa.array(w[at].view(np.int64)), pa.array(n)], ["h", "w", "c"])
+        for batch in batches:
+            for bid, blobs in zip(batch.column("bid").to_pylist(), batch.column("blobs").to_pylist(), strict=True):
+                b = _batch_of(blobs)
+                size = len(b.vocab)
+                n = np.bincount(b.word[b.learnt], minlength=size)
+                yield pa.record_batch([pa.array(np.full(size, bid)), pa.array(np.arange(size, dtype=np.int32)), pa.array(b.vocab), pa.array(n)], ["bid", "pos", "key", "n"])
+
+    return tokens.select("bid", "blobs").mapInArrow(run, "bid long, pos int, key long, n long")
 
-    return docs.mapInArrow(run, "h long, w long, c int")
+
+def _asked_pairs(tokens: DataFrame, buckets: int) -> DataFrame:
+    """(bucket, bid, keys, n): every batch's distinct pairs by bucket, ascending, and how often it has them in texts learnt from."""
+
+    def run(batches):
+        for batch in batches:
+            for bid, blobs in zip(batch.column("bid").to_pylist(), batch.column("blobs").to_pylist(), strict=True):
+                b = _batch_of(blobs)
+                keys, _, of = b.pairs()
+                n = np.bincount(of[b.learnt], minlength=len(keys))
+                at = ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)  # ascending as keys are
+                first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+                ends = np.append(first[1:], len(at))
+                for lo in range(0, len(first), 256):
+                    cuts = list(zip(first[lo : lo + 256], ends[lo : lo + 256], strict=True))
+                    yield pa.record_batch(
+                        [
+                            pa.array(at[[i for i, _ in cuts]].astype(np.int64)),
+                            pa.array(np.full(len(cuts), bid)),
+                            pa.array([keys[i:j].tobytes() for i, j in cuts], pa.binary()),
+                            pa.array([_packed(n[i:j]) for i, j in cuts], pa.binary()),
+                        ],
+                        ["bucket", "bid", "keys", "n"],
+                    )
+
+    return tokens.select("bid", "blobs").mapInArrow(run, "bucket long, bid long, keys binary, n binary")
+
+
+def _met(asked: pa.Table) -> pa.Table:
+    """A bucket's pairs added up: an answer to each batch (2 * count, and 1 if the batch owns the pair), and a row of the model."""
+    blobs = asked.column("keys").to_pylist()
+    ends = np.cumsum([len(b) // 8 for b in blobs])
+    keys = np.frombuffer(b"".join(blobs), np.uint64)
+    n = np.concatenate([_unpacked(b) for b in asked.column("n").to_pylist()])
+    distinct, of = np.unique(keys, return_inverse=True)
+    c = np.bincount(of, weights=n, minlength=len(distinct)).astype(np.int64)
+    owner = np.full(len(distinct), -1)
+    learnt = np.flatnonzero(n)
+    owner[of[learnt]] = learnt
+    answer = 2 * c[of]
+    answer[owner[owner >= 0]] += 1
+    bucket = asked.column("bucket")[0].as_py()
+    seen = c > 0
+    hist = np.bincount(np.minimum(c, FIT + 1), minlength=FIT + 2)[1 : FIT + 1].tolist()
+    m = len(blobs)
+    return pa.table(
+        {
+            "bid": pa.array([*asked.column("bid").to_pylist(), None], pa.int64()),
+            "bucket": pa.array([bucket] * (m + 1), pa.int64()),
+            "answer": pa.array([*(_packed(x) for x in np.split(answer, ends[:-1])), None], pa.binary()),
+            "keys": pa.array([None] * m + [distinct[seen].tobytes()], pa.binary()),
+            "counts": pa.array([None] * m + [_packed(c[seen])], pa.binary()),
+            "hist": pa.array([None] * m + [hist], pa.list_(pa.int64())),
+        }
+    )
 
 
 def discounts(of: dict[int, int], k: int = K) -> dict[int, float]:
@@ -114,91 +209,133 @@ def _discounted(c: Column, d: dict[int, float]) -> Column:
     return out
 
 
-def _counts_of_counts(counts: DataFrame) -> dict[int, int]:
-    return {r["c"]: r["n"] for r in counts.filter(F.col("c") <= FIT).groupBy("c").agg(F.count("*").alias("n")).collect()}  # FIT rows
-
-
-class Katz:
-    """A trained model: words (key, c, log_p, log_total, log_a) and pairs (h, w, c, of 1 and more), with N and V and the pairs' factors."""
-
-    def __init__(self, words: DataFrame, pairs: DataFrame, total: int, distinct: int, unseen: float, factors: dict[int, float]):
-        self.words, self.pairs, self.total, self.distinct, self.unseen, self.factors = words, pairs, total, distinct, unseen, factors
-
-
-def train(docs: DataFrame, k: int = K) -> Katz:
-    """docs (did, uid, text); all are learnt from."""
-    n = parts(docs.sparkSession)
-    words = written(_by_document(docs, False).groupBy("key").agg(F.sum("n").alias("c")), "words")
-    pairs = _pair_counts(docs).repartition(n, "h", "w").groupBy("h", "w").agg(F.sum("c").cast("int").alias("c"))
-    pairs = written(pairs.sortWithinPartitions("h"), "pairs")
-    total, distinct = words.agg(F.sum("c"), F.count("*")).first()
-    total = total or 0
-    d1, d2 = discounts(_counts_of_counts(words), k), discounts(_counts_of_counts(pairs), k)
-    mass = words.agg(F.sum(_discounted(F.col("c"), d1))).first()[0] or 0.0
+def _taken(c: np.ndarray, d: dict[int, float]) -> np.ndarray:
+    """Discounted counts."""
+    return c * np.array([1.0, *(d[r] for r in sorted(d)), 1.0])[np.minimum(c, len(d) + 1)]
+
+
+class Rates(NamedTuple):
+    """A model's numbers: N, V, the mass of words not seen, the events it is a share of, and the factors of words and pairs."""
+
+    total: int
+    distinct: int
+    unseen: float
+    events: int
+    of_words: dict[int, float]
+    of_pairs: dict[int, float]
+
+    def log_p(self, c: np.ndarray) -> np.ndarray:
+        """log10 P of words from their counts."""
+        return np.log10(np.where(c > 0, _taken(c, self.of_words) / max(self.events, 1), self.unseen))
+
+
+class Katz(NamedTuple):
+    """A trained model: words (key, c, log_p, log_total, log_a), pairs (bucket, keys, counts) and its numbers."""
+
+    words: DataFrame
+    pairs: DataFrame
+    rates: Rates
+
+
+def _answered(tokens: DataFrame, words: DataFrame, answers: DataFrame) -> DataFrame:
+    """Each batch's tokens, its words' rows (pos, c, log_total, log_a) and its pairs' answers, as rows of one group bid."""
+    no = lambda t: F.lit(None).cast(t)
+    of_words = _asked_words(tokens).select("bid", "pos", "key").join(words, "key", "left")
+    of_words = of_words.select("bid", F.lit(1).alias("kind"), F.col("pos").cast("long").alias("pos"), "c", "log_total", "log_a", no("array<binary>").alias("blobs"))
+    plain = [no("long").alias("c"), no("double").alias("log_total"), no("double").alias("log_a")]
+    of_pairs = answers.filter("bid is not null").select("bid", F.lit(2), F.col("bucket"), *plain, F.array("answer"))
+    return tokens.select("bid", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("pos"), *plain, "blobs").union(of_words).union(of_pairs).groupBy("bid")
+
+
+def _opened(group: pa.Table) -> tuple[Batch, list[np.ndarray], np.ndarray]:
+    """A group of _answered: its tokens, (c, log_total, log_a) by word, and the answers by pair."""
+    kind, pos = group.column("kind").to_numpy(), group.column("pos").to_numpy()
+    blobs = group.column("blobs")
+    batch = _batch_of(blobs[int(np.flatnonzero(kind == 0)[0])].as_py())
+    by_word = []
+    for name, kept in (("c", np.int64), ("log_total", np.float64), ("log_a", np.float64)):
+        x = np.zeros(len(batch.vocab), kept)
+        x[pos[kind == 1]] = group.column(name).fill_null(0).to_numpy()[kind == 1]
+        by_word.append(x)
+    at = np.flatnonzero(kind == 2)
+    answers = np.concatenate([_unpacked(blobs[int(i)].as_py()[0]) for i in at[np.argsort(pos[at])]])
+    return batch, by_word, answers
+
+
+def _history_sums(rates: Rates):
+    """Of the pairs a batch owns: (key, ch, seen, low, few), the sums of each history's counts, discounted counts, next words' probabilities and discounted pairs."""
+
+    def run(group: pa.Table) -> pa.Table:
+        batch, (c, _, _), answers = _opened(group)
+        _, token, _ = batch.pairs()
+        own = np.flatnonzero(answers & 1)
+        h, w, n = batch.history[token[own]], batch.word[token[own]], answers[own] >> 1
+        size = len(batch.vocab)
+        total = lambda x: np.bincount(h, weights=x, minlength=size)
+        ch = total(n)
+        has = ch > 0
+        cols = {"key": batch.vocab, "ch": ch, "seen": total(_taken(n, rates.of_pairs)), "low": total(10.0 ** rates.log_p(c)[w]), "few": total(n <= len(rates.of_pairs))}
+        return pa.table({name: x[has] for name, x in cols.items()})
+
+    return run
+
+
+def _text_scores(rates: Rates):
+    """did, uid, held_out, n_tokens, n_known, base_score, score of a batch's texts."""
+
+    def run(group: pa.Table) -> pa.Table:
+        batch, (c, log_total, log_a), answers = _opened(group)
+        _, _, of = batch.pairs()
+        h, w, n = batch.history, batch.word, (answers >> 1)[of]
+        seen = np.log10(np.maximum(_taken(n, rates.of_pairs), 1e-300)) - log_total[h]
+        each = np.where(n > 0, seen, log_a[h] + rates.log_p(c)[w])
+        base = np.log10((c + 1) / (rates.total + rates.distinct + 1))[w]
+        by_text = lambda x: np.add.reduceat(x, batch.starts)
+        known = by_text((c > 0)[w].astype(np.int64))
+        cols = {"did": batch.did, "uid": batch.uid, "held_out": batch.held == 1, "n_tokens": batch.counts, "n_known": known, "base_score": by_text(base), "score": by_text(each)}
+        return pa.table(cols)
+
+    return run
+
+
+def fitted(tokens: DataFrame, k: int = K, bucket: int = BUCKET) -> tuple[Katz, DataFrame]:
+    """The model learnt from batches of tokens, and the answers to the pairs of all of them."""
+    n_tokens = tokens.agg(F.sum("n")).first()[0] or 0
+    words = _asked_words(tokens).groupBy("key").agg(F.sum("n").alias("c")).filter("c > 0")
+    words = written(words, "words")
+    answers = _asked_pairs(tokens, 1 + n_tokens // bucket).groupBy("bucket")
+    answers = written(answers.applyInArrow(_met, "bid long, bucket long, answer binary, keys binary, counts binary, hist array<long>"), "pairs")
+    few = words.filter(F.col("c") <= max(FIT, k)).groupBy("c").agg(F.count("*").alias("n")).collect()  # FIT rows
+    total, distinct, most = words.agg(F.sum("c"), F.count("*"), F.sum(F.when(F.col("c") > k, F.col("c")))).first()
+    total, of = total or 0, {r["c"]: r["n"] for r in few}
+    hist = answers.select(F.posexplode("hist").alias("c", "n")).groupBy("c").agg(F.sum("n").alias("n")).collect()  # FIT rows
+    d1, d2 = discounts({c: n for c, n in of.items() if c <= FIT}, k), discounts({r["c"] + 1: r["n"] for r in hist}, k)
+    mass = (most or 0) + sum(d1[c] * c * n for c, n in of.items() if c <= k)
     events = total if mass < total else total + 1
-    unseen = 1 - mass / events if total else 1.0
-    words = words.withColumn("p", _discounted(F.col("c"), d1) / F.lit(float(max(events, 1))))
-    found = pairs.join(words.select(F.col("key").alias("w"), "p"), "w")
-    sums = found.groupBy("h").agg(F.sum("c").alias("ch"), F.sum(_discounted(F.col("c"), d2)).alias("seen"), F.sum("p").alias("low"), F.min("c").alias("least"))
-    sums = sums.withColumn("total", F.col("ch") + F.when(F.col("least") > k, 1).otherwise(0))
-    sums = sums.select(F.col("h").alias("key"), F.log10("total").alias("log_total"), F.log10((1 - F.col("seen") / F.col("total")) / (1 - F.col("low"))).alias("log_a"))
-    words = words.join(sums, "key", "full").select("key", "c", F.log10("p").alias("log_p"), "log_total", F.coalesce("log_a", F.lit(0.0)).alias("log_a"))
-    return Katz(written(words, "model"), pairs, total, distinct, unseen, d2)
-
-
-def score(docs: DataFrame, model: Katz) -> DataFrame:
-    """docs (did, uid, text, train) -> did, uid, n_tokens, n_known, base_score, score; a row for each distinct (did, uid)."""
-    total = lambda c: F.sum(c).alias("s")
-    log_unseen, end = F.lit(float(np.log10(model.unseen))), F.lit(int(END))
-    start = model.words.filter(F.col("key") == F.lit(int(START.view(np.int64)))).select("log_total", "log_a").first() or [0.0, 0.0]
-    n, by = F.col("n"), ["did", "uid"]
-    learnt, others = docs.filter("train").select("did", "uid", "text"), docs.filter("not train").select("did", "uid", "text")
-    base = F.log10((F.coalesce("c", F.lit(0)) + 1) / F.lit(float(model.total + model.distinct + 1)))
-    # every word but the end is a history of the next token; the start is the first one's
-    follows = F.when(F.col("key") == end, F.lit(0.0)).otherwise(-n * F.col("log_total"))
-    sums = [F.sum("n").alias("n_tokens"), F.sum(n * base).alias("b"), F.sum(F.when(F.col("c") > 0, n).otherwise(0)).alias("known")]
-    words = model.words.select("key", "c", "log_total")
-    of_words = _by_document(docs.select("did", "uid", "text"), False).join(words, "key", "left").groupBy(by).agg(*sums, F.sum(follows).alias("f"))
-    of_words = written(of_words, "by-words")
-    counted = F.log10(_discounted(F.coalesce("c", F.lit(1)), model.factors))
-    pair = F.xxhash64("h", "w").alias("pair")
-    often = model.pairs.filter("c > 1").select(pair, "c")
-    of_pairs = _by_document(learnt, True).select("did", "uid", pair, "n").join(often, "pair", "left").groupBy(by).agg(total(n * counted))
-    of_pairs = written(of_pairs, "by-pairs")
-    held = written(_by_document(others, True).join(model.pairs, ["h", "w"], "left"), "held-pairs")
-    p = model.words.select(F.col("key").alias("w"), "log_p")
-    a = model.words.select(F.col("key").alias("h"), "log_total", "log_a")
-    seen = held.filter("c is not null").select(*by, (n * counted).alias("x"))
-    at_start = F.col("h") == F.lit(int(START.view(np.int64)))
-    # an unseen pair has no total: what the words' sum took off for its history is put back
-    back = F.when(at_start, F.lit(start[0] + start[1])).otherwise(F.coalesce("log_a", F.lit(0.0)) + F.coalesce("log_total", F.lit(0.0)))
-    fresh = held.filter("c is null").join(a, "h", "left").join(p, "w", "left").select(*by, (n * (F.coalesce("log_p", log_unseen) + back)).alias("x"))
-    of_held = seen.union(fresh).groupBy(by).agg(total("x"))
-    out = of_words.join(of_pairs.union(of_held), by, "left")
-    whole = F.coalesce("f", F.lit(0.0)) + F.coalesce("s", F.lit(0.0)) - F.lit(float(start[0] or 0.0))
-    return out.select("did", "uid", "n_tokens", F.col("known").alias("n_known"), F.col("b").alias("base_score"), whole.alias("score"))
+    rates = Rates(total, distinct, 1 - mass / events if total else 1.0, events, d1, d2)
+    plain = words.select("key", "c", F.lit(0.0).alias("log_total"), F.lit(0.0).alias("log_a"))
+    sums = _answered(tokens, plain, answers).applyInArrow(_history_sums(rates), "key long, ch double, seen double, low double, few double")
+    sums = sums.groupBy("key").agg(*[F.sum(x).alias(x) for x in ("ch", "seen", "low", "few")])
+    sums = sums.withColumn("total", F.col("ch") + F.when(F.col("few") == 0, 1).otherwise(0))
+    sums = sums.select("key", F.log10("total").alias("log_total"), F.log10((1 - F.col("seen") / F.col("total")) / (1 - F.col("low"))).alias("log_a"))
+    p = F.log10(_discounted(F.col("c"), d1) / F.lit(float(max(events, 1))))
+    learnt = written(words.join(sums, "key", "full").select("key", "c", p.alias("log_p"), "log_total", F.coalesce("log_a", F.lit(0.0)).alias("log_a")), "model")
+    drop(words)
+    return Katz(learnt, answers.filter("bid is null").select("bucket", "keys", "counts"), rates), answers
 
 
 def held_out() -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS == HELD
 
 
-def scored(docs: DataFrame, held: Column | None = None, k: int = K) -> DataFrame:
+def scored(docs: DataFrame, held: Column | None = None, k: int = K, bucket: int = BUCKET) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; learnt from what is not held out."""
     marked = docs.withColumn("_held", F.coalesce(held_out() if held is None else held, F.lit(False)))
-    rows = keyed(marked, "_held").withColumn("train", ~F.col("_held")).drop("_held")
-    model = train(rows.filter("train").select("did", "uid", "text"), k)
-    rows_of = rows.select("did", "uid", "train")
-    found = score(rows.dropDuplicates(["did", "uid"]) if _repeated(rows_of) else rows, model)
-    rows = rows_of
-    out = rows.select("did", "uid", (~F.col("train")).alias("held_out")).join(found, ["did", "uid"])
-    return out.select(
-        F.when(F.col("did") != F.lit(NULL_ID), F.col("did")).alias("doc_id"), "held_out", "n_tokens", F.col("n_known").cast("long").alias("n_known"), F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score"
-    )
-
-
-def _repeated(keys: DataFrame) -> bool:
-    return not keys.groupBy("did", "uid").count().filter("count > 1").isEmpty()
+    tokens = _tokenised(keyed(marked, "_held").withColumn("held", F.col("_held").cast("long")).drop("_held"))
+    model, answers = fitted(tokens, k, bucket)
+    known = model.words.select("key", "c", "log_total", "log_a")
+    out = _answered(tokens, known, answers).applyInArrow(_text_scores(model.rates), "did long, uid long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    return out.select(unkeyed(), "held_out", "n_tokens", "n_known", F.lit(model.rates.total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op4_katz(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -168,8 +168,9 @@ def test_mixing(docs, rows):
     assert out == taken
 
 
-def test_katz(docs, rows):
-    got = katz.scored(docs).collect()
+@pytest.mark.parametrize("bucket", [katz.BUCKET, 300])
+def test_katz(docs, rows, bucket):
+    got = katz.scored(docs, bucket=bucket).collect()
     keep = [r for r in rows]
     token = lambda t: (t or "").encode().lower().split() + [0]
     held = lambda d: d is not None and zlib.crc32(str(d).encode()) % 7 == 2
