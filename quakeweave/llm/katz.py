@@ -25,8 +25,8 @@ tokens than there are buckets, an array holds a pair or two, as a row for each w
 Pairs are equal if their hashes are.  Of the batches with a pair one owns it and takes it
 into its history's sums.
 
-The model is two tables: ``words`` (word, its count and probability and, as a history, its
-total and backoff weight) and ``pairs`` (bucket, its pairs' sorted hashes and counts).
+The model is three tables partitioned by bucket: ``words`` and ``pairs`` (sorted hashes and
+counts) and ``histories`` (sorted hashes, totals and backoff weights).
 
 Null and empty texts are the end alone.  Rows equal in doc_id and text are scored once
 for each and count once each in training; null doc_ids are kept.  An empty training set
@@ -45,7 +45,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quakeweave.llm._common import drop, keyed, table, unkeyed, written
+from quakeweave.llm._common import keyed, table, unkeyed, written
 from quakeweave.llm.hashing import M3, WordHasher, flat_words, mix, small
 
 K, FIT, FLATTEST = 5, 10, -1.1
@@ -56,13 +56,13 @@ BUCKET = 2_000_000
 START, END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 
 
-def _packed(x: np.ndarray) -> bytes:
-    return len(x).to_bytes(8, "little") + pa.compress(np.ascontiguousarray(x, np.int64).tobytes(), codec="zstd", asbytes=True)
+def _packed(x: np.ndarray, kept=np.int64) -> bytes:
+    return len(x).to_bytes(8, "little") + pa.compress(np.ascontiguousarray(x, kept).tobytes(), codec="zstd", asbytes=True)
 
 
-def _unpacked(b: bytes) -> np.ndarray:
+def _unpacked(b: bytes, kept=np.int64) -> np.ndarray:
     n = int.from_bytes(b[:8], "little")
-    return np.frombuffer(pa.decompress(b[8:], 8 * n, codec="zstd", asbytes=True), np.int64)
+    return np.frombuffer(pa.decompress(b[8:], 8 * n, codec="zstd", asbytes=True), kept)
 
 
 class Batch(NamedTuple):
@@ -91,6 +91,11 @@ class Batch(NamedTuple):
         """For each token, whether it is learnt from."""
         return np.repeat(self.held == 0, self.counts)
 
+    def words(self) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct words' hashes, ascending, and where each stands among the words."""
+        order = np.argsort(self.vocab.view(np.uint64))
+        return self.vocab.view(np.uint64)[order], order
+
     def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The distinct pairs' hashes, ascending, a token of each, and every token's pair."""
         spread = self.vocab.view(np.uint64)
@@ -122,74 +127,70 @@ def _tokenised(docs: DataFrame) -> DataFrame:
     return written(docs.mapInArrow(run, "bid long, n long, blobs array<binary>"), "tokens")
 
 
-def _asked_words(tokens: DataFrame) -> DataFrame:
-    """(bid, pos, key, n): every batch's distinct words and how often it has them in texts learnt from."""
+def _by_bucket(keys: np.ndarray, buckets: int) -> list[tuple[int, int, int]]:
+    """(bucket, first, end) of ascending hashes."""
+    at = ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+    first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+    return list(zip(at[first].tolist(), first.tolist(), [*first[1:].tolist(), len(at)], strict=True))
+
+
+def _asked(tokens: DataFrame, buckets: int, pairs: bool) -> DataFrame:
+    """(bucket, bid, keys, n): every batch's distinct pairs, or words, by bucket, ascending, and how often it has them in texts learnt from."""
 
     def run(batches):
         for batch in batches:
             for bid, blobs in zip(batch.column("bid").to_pylist(), batch.column("blobs").to_pylist(), strict=True):
                 b = _batch_of(blobs)
-                size = len(b.vocab)
-                n = np.bincount(b.word[b.learnt], minlength=size)
-                yield pa.record_batch([pa.array(np.full(size, bid)), pa.array(np.arange(size, dtype=np.int32)), pa.array(b.vocab), pa.array(n)], ["bid", "pos", "key", "n"])
+                if pairs:
+                    keys, _, of = b.pairs()
+                    n = np.bincount(of[b.learnt], minlength=len(keys))
+                else:
+                    keys, order = b.words()
+                    n = np.bincount(b.word[b.learnt], minlength=len(keys))[order]
+                cuts = _by_bucket(keys, buckets)
+                for lo in range(0, len(cuts), 256):
+                    some = cuts[lo : lo + 256]
+                    cols = [[k for k, _, _ in some], [bid] * len(some), [keys[i:j].tobytes() for _, i, j in some], [_packed(n[i:j]) for _, i, j in some]]
+                    yield pa.record_batch([pa.array(x, t) for x, t in zip(cols, (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["bucket", "bid", "keys", "n"])
 
-    return tokens.select("bid", "blobs").mapInArrow(run, "bid long, pos int, key long, n long")
+    return tokens.select("bid", "blobs").mapInArrow(run, "bucket long, bid long, keys binary, n binary")
 
 
-def _asked_pairs(tokens: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, bid, keys, n): every batch's distinct pairs by bucket, ascending, and how often it has them in texts learnt from."""
+def _keys(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A bucket's distinct keys, ascending, each row's keys' places among them, and where rows end."""
+    distinct, of = np.unique(np.frombuffer(b"".join(blobs), np.uint64), return_inverse=True)
+    return distinct, of, np.cumsum([len(b) // 8 for b in blobs])
 
-    def run(batches):
-        for batch in batches:
-            for bid, blobs in zip(batch.column("bid").to_pylist(), batch.column("blobs").to_pylist(), strict=True):
-                b = _batch_of(blobs)
-                keys, _, of = b.pairs()
-                n = np.bincount(of[b.learnt], minlength=len(keys))
-                at = ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)  # ascending as keys are
-                first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
-                ends = np.append(first[1:], len(at))
-                for lo in range(0, len(first), 256):
-                    cuts = list(zip(first[lo : lo + 256], ends[lo : lo + 256], strict=True))
-                    yield pa.record_batch(
-                        [
-                            pa.array(at[[i for i, _ in cuts]].astype(np.int64)),
-                            pa.array(np.full(len(cuts), bid)),
-                            pa.array([keys[i:j].tobytes() for i, j in cuts], pa.binary()),
-                            pa.array([_packed(n[i:j]) for i, j in cuts], pa.binary()),
-                        ],
-                        ["bucket", "bid", "keys", "n"],
-                    )
 
-    return tokens.select("bid", "blobs").mapInArrow(run, "bucket long, bid long, keys binary, n binary")
+ANSWERS = "bid long, bucket long, answer binary, keys binary, counts binary, total long, distinct long, hist array<long>"
 
 
 def _met(asked: pa.Table) -> pa.Table:
-    """A bucket's pairs added up: an answer to each batch (2 * count, and 1 if the batch owns the pair), and a row of the model."""
+    """A bucket's keys added up: an answer to each batch (2 * count, and 1 if the batch owns the key), and a row of the model."""
     blobs = asked.column("keys").to_pylist()
-    ends = np.cumsum([len(b) // 8 for b in blobs])
-    keys = np.frombuffer(b"".join(blobs), np.uint64)
+    distinct, of, ends = _keys(blobs)
     n = np.concatenate([_unpacked(b) for b in asked.column("n").to_pylist()])
-    distinct, of = np.unique(keys, return_inverse=True)
     c = np.bincount(of, weights=n, minlength=len(distinct)).astype(np.int64)
     owner = np.full(len(distinct), -1)
     learnt = np.flatnonzero(n)
     owner[of[learnt]] = learnt
     answer = 2 * c[of]
     answer[owner[owner >= 0]] += 1
-    bucket = asked.column("bucket")[0].as_py()
     seen = c > 0
-    hist = np.bincount(np.minimum(c, FIT + 1), minlength=FIT + 2)[1 : FIT + 1].tolist()
     m = len(blobs)
-    return pa.table(
-        {
-            "bid": pa.array([*asked.column("bid").to_pylist(), None], pa.int64()),
-            "bucket": pa.array([bucket] * (m + 1), pa.int64()),
-            "answer": pa.array([*(_packed(x) for x in np.split(answer, ends[:-1])), None], pa.binary()),
-            "keys": pa.array([None] * m + [distinct[seen].tobytes()], pa.binary()),
-            "counts": pa.array([None] * m + [_packed(c[seen])], pa.binary()),
-            "hist": pa.array([None] * m + [hist], pa.list_(pa.int64())),
-        }
-    )
+    model = {
+        "keys": (distinct[seen].tobytes(), pa.binary()),
+        "counts": (_packed(c[seen]), pa.binary()),
+        "total": (int(c.sum()), pa.int64()),
+        "distinct": (int(seen.sum()), pa.int64()),
+        "hist": (np.bincount(np.minimum(c, FIT + 1), minlength=FIT + 2)[1 : FIT + 1].tolist(), pa.list_(pa.int64())),
+    }
+    cols = {
+        "bid": pa.array([*asked.column("bid").to_pylist(), None], pa.int64()),
+        "bucket": pa.array([asked.column("bucket")[0].as_py()] * (m + 1), pa.int64()),
+        "answer": pa.array([*(_packed(x) for x in np.split(answer, ends[:-1])), None], pa.binary()),
+    }
+    return pa.table(cols | {name: pa.array([None] * m + [x], t) for name, (x, t) in model.items()})
 
 
 def discounts(of: dict[int, int], k: int = K) -> dict[int, float]:
@@ -202,13 +203,6 @@ def discounts(of: dict[int, int], k: int = K) -> dict[int, float]:
     return {r: ((r + 1) * smooth(r + 1) / (r * smooth(r)) - last) / (1 - last) for r in range(1, k + 1)}
 
 
-def _discounted(c: Column, d: dict[int, float]) -> Column:
-    out = c.cast("double")
-    for r, x in d.items():
-        out = F.when(c == r, F.lit(r * x)).otherwise(out)
-    return out
-
-
 def _taken(c: np.ndarray, d: dict[int, float]) -> np.ndarray:
     """Discounted counts."""
     return c * np.array([1.0, *(d[r] for r in sorted(d)), 1.0])[np.minimum(c, len(d) + 1)]
@@ -230,64 +224,97 @@ class Rates(NamedTuple):
 
 
 class Katz(NamedTuple):
-    """A trained model: words (key, c, log_p, log_total, log_a), pairs (bucket, keys, counts) and its numbers."""
+    """A trained model: words and pairs (bucket, keys, counts), histories (bucket, keys, log_total, log_a) and its numbers; arrays as _unpacked reads them."""
 
     words: DataFrame
     pairs: DataFrame
+    histories: DataFrame
     rates: Rates
 
 
-def _answered(tokens: DataFrame, words: DataFrame, answers: DataFrame) -> DataFrame:
-    """Each batch's tokens, its words' rows (pos, c, log_total, log_a) and its pairs' answers, as rows of one group bid."""
-    no = lambda t: F.lit(None).cast(t)
-    of_words = _asked_words(tokens).select("bid", "pos", "key").join(words, "key", "left")
-    of_words = of_words.select("bid", F.lit(1).alias("kind"), F.col("pos").cast("long").alias("pos"), "c", "log_total", "log_a", no("array<binary>").alias("blobs"))
-    plain = [no("long").alias("c"), no("double").alias("log_total"), no("double").alias("log_a")]
-    of_pairs = answers.filter("bid is not null").select("bid", F.lit(2), F.col("bucket"), *plain, F.array("answer"))
-    return tokens.select("bid", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("pos"), *plain, "blobs").union(of_words).union(of_pairs).groupBy("bid")
+def _answered(tokens: DataFrame, *answers: DataFrame) -> DataFrame:
+    """Each batch's tokens (kind 0) and the answers (bid, bucket, blobs) to it, by kind from 1, as rows of one group bid."""
+    rows = tokens.select("bid", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("bucket"), "blobs")
+    for k, x in enumerate(answers, 1):
+        rows = rows.union(x.filter("bid is not null").select("bid", F.lit(k), "bucket", "blobs"))
+    return rows.groupBy("bid")
 
 
-def _opened(group: pa.Table) -> tuple[Batch, list[np.ndarray], np.ndarray]:
-    """A group of _answered: its tokens, (c, log_total, log_a) by word, and the answers by pair."""
-    kind, pos = group.column("kind").to_numpy(), group.column("pos").to_numpy()
-    blobs = group.column("blobs")
-    batch = _batch_of(blobs[int(np.flatnonzero(kind == 0)[0])].as_py())
-    by_word = []
-    for name, kept in (("c", np.int64), ("log_total", np.float64), ("log_a", np.float64)):
-        x = np.zeros(len(batch.vocab), kept)
-        x[pos[kind == 1]] = group.column(name).fill_null(0).to_numpy()[kind == 1]
-        by_word.append(x)
-    at = np.flatnonzero(kind == 2)
-    answers = np.concatenate([_unpacked(blobs[int(i)].as_py()[0]) for i in at[np.argsort(pos[at])]])
-    return batch, by_word, answers
+def _opened(group: pa.Table) -> tuple[Batch, list[list[list[bytes]]]]:
+    """A group of _answered: its tokens, and by kind the answers in the order of their buckets."""
+    rows = sorted(zip(group.column("kind").to_pylist(), group.column("bucket").to_pylist(), group.column("blobs").to_pylist(), strict=True))
+    by = [[blobs for kind, _, blobs in rows if kind == k] for k in range(4)]
+    return _batch_of(by[0][0]), by
 
 
-def _history_sums(rates: Rates):
-    """Of the pairs a batch owns: (key, ch, seen, low, few), the sums of each history's counts, discounted counts, next words' probabilities and discounted pairs."""
+def _joined(answers: list[list[bytes]], at: int = 0, kept=np.int64) -> np.ndarray:
+    return np.concatenate([_unpacked(blobs[at], kept) for blobs in answers])
+
+
+def _counts_of_words(batch: Batch, answers: list[list[bytes]]) -> np.ndarray:
+    c = np.empty(len(batch.vocab), np.int64)
+    c[batch.words()[1]] = _joined(answers) >> 1
+    return c
+
+
+def _history_sums(rates: Rates, buckets: int):
+    """(bucket, bid, keys, ch, seen, low, few): by word, sums over the pairs that follow it and that the batch owns, of counts, discounted counts, next words' probabilities and discounted pairs."""
 
     def run(group: pa.Table) -> pa.Table:
-        batch, (c, _, _), answers = _opened(group)
+        batch, by = _opened(group)
+        c, answers = _counts_of_words(batch, by[1]), _joined(by[2])
         _, token, _ = batch.pairs()
         own = np.flatnonzero(answers & 1)
         h, w, n = batch.history[token[own]], batch.word[token[own]], answers[own] >> 1
-        size = len(batch.vocab)
-        total = lambda x: np.bincount(h, weights=x, minlength=size)
-        ch = total(n)
-        has = ch > 0
-        cols = {"key": batch.vocab, "ch": ch, "seen": total(_taken(n, rates.of_pairs)), "low": total(10.0 ** rates.log_p(c)[w]), "few": total(n <= len(rates.of_pairs))}
-        return pa.table({name: x[has] for name, x in cols.items()})
+        keys, order = batch.words()
+        total = lambda x: np.bincount(h, weights=x, minlength=len(keys))[order]
+        sums = {"ch": total(n), "seen": total(_taken(n, rates.of_pairs)), "low": total(10.0 ** rates.log_p(c)[w]), "few": total(n <= len(rates.of_pairs))}
+        cuts = _by_bucket(keys, buckets)
+        cols = {"bucket": pa.array([k for k, _, _ in cuts], pa.int64()), "bid": pa.array([group.column("bid")[0].as_py()] * len(cuts), pa.int64())}
+        cols["keys"] = pa.array([keys[i:j].tobytes() for _, i, j in cuts], pa.binary())
+        return pa.table(cols | {name: pa.array([_packed(x[i:j], np.float64) for _, i, j in cuts], pa.binary()) for name, x in sums.items()})
 
     return run
 
 
+def _weighed(asked: pa.Table) -> pa.Table:
+    """A bucket's histories added up: log10 of their totals and backoff weights, for each batch that has them, and a row of the model."""
+    blobs = asked.column("keys").to_pylist()
+    distinct, of, ends = _keys(blobs)
+
+    def total(name: str) -> np.ndarray:
+        return np.bincount(of, weights=np.concatenate([_unpacked(b, np.float64) for b in asked.column(name).to_pylist()]), minlength=len(distinct))
+
+    ch, seen, low, few = map(total, ("ch", "seen", "low", "few"))
+    known = ch > 0
+    events = np.where(known, ch + (few == 0), 1.0)
+    log_a = np.log10(np.where(known, (1 - seen / events) / (1 - np.where(known, low, 0)), 1.0))
+    both = np.log10(events), log_a
+    sent = [[_packed(x, np.float64) for x in np.split(y[of], ends[:-1])] for y in both]
+    rows = [[a, b] for a, b in zip(*sent, strict=True)] + [[_packed(x[known], np.float64) for x in both]]
+    m = len(blobs)
+    return pa.table(
+        {
+            "bid": pa.array([*asked.column("bid").to_pylist(), None], pa.int64()),
+            "bucket": pa.array([asked.column("bucket")[0].as_py()] * (m + 1), pa.int64()),
+            "keys": pa.array([None] * m + [distinct[known].tobytes()], pa.binary()),
+            "blobs": pa.array(rows, pa.list_(pa.binary())),
+        }
+    )
+
+
 def _text_scores(rates: Rates):
     """did, uid, held_out, n_tokens, n_known, base_score, score of a batch's texts."""
 
     def run(group: pa.Table) -> pa.Table:
-        batch, (c, log_total, log_a), answers = _opened(group)
+        batch, by = _opened(group)
+        c = _counts_of_words(batch, by[1])
+        order = batch.words()[1]
+        log_total, log_a = np.empty(len(c)), np.empty(len(c))
+        log_total[order], log_a[order] = _joined(by[3], 0, np.float64), _joined(by[3], 1, np.float64)
         _, _, of = batch.pairs()
-        h, w, n = batch.history, batch.word, (answers >> 1)[of]
-        seen = np.log10(np.maximum(_taken(n, rates.of_pairs), 1e-300)) - log_total[h]
+        h, w, n = batch.history, batch.word, (_joined(by[2]) >> 1)[of]
+        seen = np.log10(np.where(n > 0, _taken(n, rates.of_pairs), 1.0)) - log_total[h]
         each = np.where(n > 0, seen, log_a[h] + rates.log_p(c)[w])
         base = np.log10((c + 1) / (rates.total + rates.distinct + 1))[w]
         by_text = lambda x: np.add.reduceat(x, batch.starts)
@@ -298,30 +325,29 @@ def _text_scores(rates: Rates):
     return run
 
 
-def fitted(tokens: DataFrame, k: int = K, bucket: int = BUCKET) -> tuple[Katz, DataFrame]:
-    """The model learnt from batches of tokens, and the answers to the pairs of all of them."""
-    n_tokens = tokens.agg(F.sum("n")).first()[0] or 0
-    words = _asked_words(tokens).groupBy("key").agg(F.sum("n").alias("c")).filter("c > 0")
-    words = written(words, "words")
-    answers = _asked_pairs(tokens, 1 + n_tokens // bucket).groupBy("bucket")
-    answers = written(answers.applyInArrow(_met, "bid long, bucket long, answer binary, keys binary, counts binary, hist array<long>"), "pairs")
-    few = words.filter(F.col("c") <= max(FIT, k)).groupBy("c").agg(F.count("*").alias("n")).collect()  # FIT rows
-    total, distinct, most = words.agg(F.sum("c"), F.count("*"), F.sum(F.when(F.col("c") > k, F.col("c")))).first()
-    total, of = total or 0, {r["c"]: r["n"] for r in few}
-    hist = answers.select(F.posexplode("hist").alias("c", "n")).groupBy("c").agg(F.sum("n").alias("n")).collect()  # FIT rows
-    d1, d2 = discounts({c: n for c, n in of.items() if c <= FIT}, k), discounts({r["c"] + 1: r["n"] for r in hist}, k)
-    mass = (most or 0) + sum(d1[c] * c * n for c, n in of.items() if c <= k)
+def _hist(answers: DataFrame) -> dict[int, int]:
+    """The numbers of keys seen 1 .. FIT times."""
+    return {r["c"] + 1: r["n"] for r in answers.select(F.posexplode("hist").alias("c", "n")).groupBy("c").agg(F.sum("n").alias("n")).collect()}  # FIT rows
+
+
+def fitted(tokens: DataFrame, k: int = K, bucket: int = BUCKET) -> tuple[Katz, list[DataFrame]]:
+    """The model learnt from batches of tokens (k up to FIT), and the answers to all of them: words' counts, pairs' counts, histories' weights."""
+    if not 1 <= k <= FIT:
+        raise ValueError(f"k must be 1 to {FIT}")
+    buckets = 1 + (tokens.agg(F.sum("n")).first()[0] or 0) // bucket
+    words, pairs = (written(_asked(tokens, buckets, x).groupBy("bucket").applyInArrow(_met, ANSWERS), "pairs" if x else "words") for x in (False, True))
+    total, distinct = words.agg(F.sum("total"), F.sum("distinct")).first()
+    total, of = total or 0, _hist(words)
+    d1, d2 = discounts(of, k), discounts(_hist(pairs), k)
+    mass = total - sum((1 - d1[c]) * c * of.get(c, 0) for c in d1)
     events = total if mass < total else total + 1
-    rates = Rates(total, distinct, 1 - mass / events if total else 1.0, events, d1, d2)
-    plain = words.select("key", "c", F.lit(0.0).alias("log_total"), F.lit(0.0).alias("log_a"))
-    sums = _answered(tokens, plain, answers).applyInArrow(_history_sums(rates), "key long, ch double, seen double, low double, few double")
-    sums = sums.groupBy("key").agg(*[F.sum(x).alias(x) for x in ("ch", "seen", "low", "few")])
-    sums = sums.withColumn("total", F.col("ch") + F.when(F.col("few") == 0, 1).otherwise(0))
-    sums = sums.select("key", F.log10("total").alias("log_total"), F.log10((1 - F.col("seen") / F.col("total")) / (1 - F.col("low"))).alias("log_a"))
-    p = F.log10(_discounted(F.col("c"), d1) / F.lit(float(max(events, 1))))
-    learnt = written(words.join(sums, "key", "full").select("key", "c", p.alias("log_p"), "log_total", F.coalesce("log_a", F.lit(0.0)).alias("log_a")), "model")
-    drop(words)
-    return Katz(learnt, answers.filter("bid is null").select("bucket", "keys", "counts"), rates), answers
+    rates = Rates(total, distinct or 0, 1 - mass / events if total else 1.0, events, d1, d2)
+    counted = [x.select("bid", "bucket", F.array("answer").alias("blobs")) for x in (words, pairs)]
+    sums = _answered(tokens, *counted).applyInArrow(_history_sums(rates, buckets), "bucket long, bid long, keys binary, ch binary, seen binary, low binary, few binary")
+    weights = written(sums.groupBy("bucket").applyInArrow(_weighed, "bid long, bucket long, keys binary, blobs array<binary>"), "histories")
+    model = [x.filter("bid is null").select("bucket", "keys", "counts") for x in (words, pairs)]
+    histories = weights.filter("bid is null").select("bucket", "keys", F.col("blobs")[0].alias("log_total"), F.col("blobs")[1].alias("log_a"))
+    return Katz(*model, histories, rates), [*counted, weights]
 
 
 def held_out() -> Column:
@@ -333,8 +359,7 @@ def scored(docs: DataFrame, held: Column | None = None, k: int = K, bucket: int
     marked = docs.withColumn("_held", F.coalesce(held_out() if held is None else held, F.lit(False)))
     tokens = _tokenised(keyed(marked, "_held").withColumn("held", F.col("_held").cast("long")).drop("_held"))
     model, answers = fitted(tokens, k, bucket)
-    known = model.words.select("key", "c", "log_total", "log_a")
-    out = _answered(tokens, known, answers).applyInArrow(_text_scores(model.rates), "did long, uid long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    out = _answered(tokens, *answers).applyInArrow(_text_scores(model.rates), "did long, uid long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return out.select(unkeyed(), "held_out", "n_tokens", "n_known", F.lit(model.rates.total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
