@@ -224,7 +224,7 @@ class Rates(NamedTuple):
 
 
 class Katz(NamedTuple):
-    """A trained model: words and pairs (bucket, keys, counts), histories (bucket, keys, log_total, log_a) and its numbers; arrays as _unpacked reads them."""
+    """A trained model: words and pairs (bucket, keys, counts), histories (bucket, keys, total, log_a) and its numbers; arrays as _unpacked reads them."""
 
     words: DataFrame
     pairs: DataFrame
@@ -258,17 +258,18 @@ def _counts_of_words(batch: Batch, answers: list[list[bytes]]) -> np.ndarray:
 
 
 def _history_sums(rates: Rates, buckets: int):
-    """(bucket, bid, keys, ch, seen, low, few): by word, sums over the pairs that follow it and that the batch owns, of counts, discounted counts, next words' probabilities and discounted pairs."""
+    """(bucket, bid, keys, ch, seen, low, few, backed): by word, sums over the pairs that follow it and that the batch owns, of counts, discounted counts, next words' probabilities and discounted pairs, and how often the batch's texts back off from it."""
 
     def run(group: pa.Table) -> pa.Table:
         batch, by = _opened(group)
         c, answers = _counts_of_words(batch, by[1]), _joined(by[2])
-        _, token, _ = batch.pairs()
+        _, token, of = batch.pairs()
         own = np.flatnonzero(answers & 1)
         h, w, n = batch.history[token[own]], batch.word[token[own]], answers[own] >> 1
         keys, order = batch.words()
         total = lambda x: np.bincount(h, weights=x, minlength=len(keys))[order]
         sums = {"ch": total(n), "seen": total(_taken(n, rates.of_pairs)), "low": total(10.0 ** rates.log_p(c)[w]), "few": total(n <= len(rates.of_pairs))}
+        sums["backed"] = np.bincount(batch.history[answers[of] < 2], minlength=len(keys))[order]
         cuts = _by_bucket(keys, buckets)
         cols = {"bucket": pa.array([k for k, _, _ in cuts], pa.int64()), "bid": pa.array([group.column("bid")[0].as_py()] * len(cuts), pa.int64())}
         cols["keys"] = pa.array([keys[i:j].tobytes() for _, i, j in cuts], pa.binary())
@@ -278,7 +279,7 @@ def _history_sums(rates: Rates, buckets: int):
 
 
 def _weighed(asked: pa.Table) -> pa.Table:
-    """A bucket's histories added up: log10 of their totals and backoff weights, for each batch that has them, and a row of the model."""
+    """A bucket's histories added up: their totals and log10 of their backoff weights (0 where a batch backs off from none), for each batch that has them, and a row of the model."""
     blobs = asked.column("keys").to_pylist()
     distinct, of, ends = _keys(blobs)
 
@@ -289,9 +290,10 @@ def _weighed(asked: pa.Table) -> pa.Table:
     known = ch > 0
     events = np.where(known, ch + (few == 0), 1.0)
     log_a = np.log10(np.where(known, (1 - seen / events) / (1 - np.where(known, low, 0)), 1.0))
-    both = np.log10(events), log_a
-    sent = [[_packed(x, np.float64) for x in np.split(y[of], ends[:-1])] for y in both]
-    rows = [[a, b] for a, b in zip(*sent, strict=True)] + [[_packed(x[known], np.float64) for x in both]]
+    backed = np.concatenate([_unpacked(b, np.float64) for b in asked.column("backed").to_pylist()]) > 0
+    totals = [_packed(x) for x in np.split(events[of], ends[:-1])]
+    weights = [_packed(x, np.float64) for x in np.split(np.where(backed, log_a[of], 0.0), ends[:-1])]
+    rows = [[a, b] for a, b in zip(totals, weights, strict=True)] + [[_packed(events[known]), _packed(log_a[known], np.float64)]]
     m = len(blobs)
     return pa.table(
         {
@@ -311,7 +313,7 @@ def _text_scores(rates: Rates):
         c = _counts_of_words(batch, by[1])
         order = batch.words()[1]
         log_total, log_a = np.empty(len(c)), np.empty(len(c))
-        log_total[order], log_a[order] = _joined(by[3], 0, np.float64), _joined(by[3], 1, np.float64)
+        log_total[order], log_a[order] = np.log10(_joined(by[3])), _joined(by[3], 1, np.float64)
         _, _, of = batch.pairs()
         h, w, n = batch.history, batch.word, (_joined(by[2]) >> 1)[of]
         seen = np.log10(np.where(n > 0, _taken(n, rates.of_pairs), 1.0)) - log_total[h]
@@ -343,10 +345,10 @@ def fitted(tokens: DataFrame, k: int = K, bucket: int = BUCKET) -> tuple[Katz, l
     events = total if mass < total else total + 1
     rates = Rates(total, distinct or 0, 1 - mass / events if total else 1.0, events, d1, d2)
     counted = [x.select("bid", "bucket", F.array("answer").alias("blobs")) for x in (words, pairs)]
-    sums = _answered(tokens, *counted).applyInArrow(_history_sums(rates, buckets), "bucket long, bid long, keys binary, ch binary, seen binary, low binary, few binary")
+    sums = _answered(tokens, *counted).applyInArrow(_history_sums(rates, buckets), "bucket long, bid long, keys binary, ch binary, seen binary, low binary, few binary, backed binary")
     weights = written(sums.groupBy("bucket").applyInArrow(_weighed, "bid long, bucket long, keys binary, blobs array<binary>"), "histories")
     model = [x.filter("bid is null").select("bucket", "keys", "counts") for x in (words, pairs)]
-    histories = weights.filter("bid is null").select("bucket", "keys", F.col("blobs")[0].alias("log_total"), F.col("blobs")[1].alias("log_a"))
+    histories = weights.filter("bid is null").select("bucket", "keys", F.col("blobs")[0].alias("total"), F.col("blobs")[1].alias("log_a"))
     return Katz(*model, histories, rates), [*counted, weights]
 
 
