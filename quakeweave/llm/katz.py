@@ -26,7 +26,8 @@ Pairs are equal if their hashes are.  Of the batches with a pair one owns it and
 into its history's sums.
 
 The model is three tables partitioned by bucket: ``words`` and ``pairs`` (sorted hashes and
-counts) and ``histories`` (sorted hashes, totals and backoff weights).
+counts) and ``histories`` (sorted hashes, totals and backoff weights).  Arrays are stored and
+sent in their narrowest type, hashes as differences, compressed.
 
 Null and empty texts are the end alone.  Rows equal in doc_id and text are scored once
 for each and count once each in training; null doc_ids are kept.  An empty training set
@@ -57,12 +58,35 @@ START, END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 
 
 def _packed(x: np.ndarray, kept=np.int64) -> bytes:
-    return len(x).to_bytes(8, "little") + pa.compress(np.ascontiguousarray(x, kept).tobytes(), codec="zstd", asbytes=True)
+    """Numbers as bytes: their width (and 16 if compressed), then integers in the narrowest type that holds them, byte by place, or floats."""
+    x = np.ascontiguousarray(x, kept)
+    width = 8
+    if kept is np.int64:
+        if x.min(initial=0) >= 0:
+            width = next(w for w in (1, 2, 4, 8) if int(x.max(initial=0)) < 1 << 8 * w)
+            x = x.astype(f"<u{width}")
+        x = np.ascontiguousarray(x.view(np.uint8).reshape(-1, width).T)
+    raw = x.tobytes()
+    less = len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+    return bytes([16 + width]) + less if len(less) < len(raw) else bytes([width]) + raw
 
 
 def _unpacked(b: bytes, kept=np.int64) -> np.ndarray:
-    n = int.from_bytes(b[:8], "little")
-    return np.frombuffer(pa.decompress(b[8:], 8 * n, codec="zstd", asbytes=True), kept)
+    width = b[0] & 15
+    raw = pa.decompress(b[9:], int.from_bytes(b[1:9], "little"), codec="zstd", asbytes=True) if b[0] & 16 else b[1:]
+    if kept is np.float64:
+        return np.frombuffer(raw, kept)
+    x = np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, -1).T).ravel()
+    return x.view(kept) if width == 8 else x.view(f"<u{width}").astype(kept)
+
+
+def _packed_keys(keys: np.ndarray) -> bytes:
+    """Ascending hashes, as what each is above the one before."""
+    return _packed(np.diff(keys, prepend=np.uint64(0)).view(np.int64))
+
+
+def _unpacked_keys(b: bytes) -> np.ndarray:
+    return np.cumsum(_unpacked(b).view(np.uint64), dtype=np.uint64)
 
 
 class Batch(NamedTuple):
@@ -150,7 +174,7 @@ def _asked(tokens: DataFrame, buckets: int, pairs: bool) -> DataFrame:
                 cuts = _by_bucket(keys, buckets)
                 for lo in range(0, len(cuts), 256):
                     some = cuts[lo : lo + 256]
-                    cols = [[k for k, _, _ in some], [bid] * len(some), [keys[i:j].tobytes() for _, i, j in some], [_packed(n[i:j]) for _, i, j in some]]
+                    cols = [[k for k, _, _ in some], [bid] * len(some), [_packed_keys(keys[i:j]) for _, i, j in some], [_packed(n[i:j]) for _, i, j in some]]
                     yield pa.record_batch([pa.array(x, t) for x, t in zip(cols, (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["bucket", "bid", "keys", "n"])
 
     return tokens.select("bid", "blobs").mapInArrow(run, "bucket long, bid long, keys binary, n binary")
@@ -158,8 +182,9 @@ def _asked(tokens: DataFrame, buckets: int, pairs: bool) -> DataFrame:
 
 def _keys(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """A bucket's distinct keys, ascending, each row's keys' places among them, and where rows end."""
-    distinct, of = np.unique(np.frombuffer(b"".join(blobs), np.uint64), return_inverse=True)
-    return distinct, of, np.cumsum([len(b) // 8 for b in blobs])
+    rows = [_unpacked_keys(b) for b in blobs]
+    distinct, of = np.unique(np.concatenate(rows), return_inverse=True)
+    return distinct, of, np.cumsum([len(x) for x in rows])
 
 
 ANSWERS = "bid long, bucket long, answer binary, keys binary, counts binary, total long, distinct long, hist array<long>"
@@ -179,7 +204,7 @@ def _met(asked: pa.Table) -> pa.Table:
     seen = c > 0
     m = len(blobs)
     model = {
-        "keys": (distinct[seen].tobytes(), pa.binary()),
+        "keys": (_packed_keys(distinct[seen]), pa.binary()),
         "counts": (_packed(c[seen]), pa.binary()),
         "total": (int(c.sum()), pa.int64()),
         "distinct": (int(seen.sum()), pa.int64()),
@@ -224,7 +249,7 @@ class Rates(NamedTuple):
 
 
 class Katz(NamedTuple):
-    """A trained model: words and pairs (bucket, keys, counts), histories (bucket, keys, total, log_a) and its numbers; arrays as _unpacked reads them."""
+    """A trained model: words and pairs (bucket, keys, counts), histories (bucket, keys, total, log_a) and its numbers; arrays as _unpacked reads them, keys as _unpacked_keys."""
 
     words: DataFrame
     pairs: DataFrame
@@ -257,6 +282,10 @@ def _counts_of_words(batch: Batch, answers: list[list[bytes]]) -> np.ndarray:
     return c
 
 
+#: What _history_sums adds up by history.
+SUMS = {"ch": np.int64, "seen": np.float64, "low": np.float64, "few": np.int64, "backed": np.int64}
+
+
 def _history_sums(rates: Rates, buckets: int):
     """(bucket, bid, keys, ch, seen, low, few, backed): by word, sums over the pairs that follow it and that the batch owns, of counts, discounted counts, next words' probabilities and discounted pairs, and how often the batch's texts back off from it."""
 
@@ -272,8 +301,8 @@ def _history_sums(rates: Rates, buckets: int):
         sums["backed"] = np.bincount(batch.history[answers[of] < 2], minlength=len(keys))[order]
         cuts = _by_bucket(keys, buckets)
         cols = {"bucket": pa.array([k for k, _, _ in cuts], pa.int64()), "bid": pa.array([group.column("bid")[0].as_py()] * len(cuts), pa.int64())}
-        cols["keys"] = pa.array([keys[i:j].tobytes() for _, i, j in cuts], pa.binary())
-        return pa.table(cols | {name: pa.array([_packed(x[i:j], np.float64) for _, i, j in cuts], pa.binary()) for name, x in sums.items()})
+        cols["keys"] = pa.array([_packed_keys(keys[i:j]) for _, i, j in cuts], pa.binary())
+        return pa.table(cols | {name: pa.array([_packed(x[i:j], SUMS[name]) for _, i, j in cuts], pa.binary()) for name, x in sums.items()})
 
     return run
 
@@ -283,24 +312,27 @@ def _weighed(asked: pa.Table) -> pa.Table:
     blobs = asked.column("keys").to_pylist()
     distinct, of, ends = _keys(blobs)
 
+    def rows(name: str) -> np.ndarray:
+        return np.concatenate([_unpacked(b, SUMS[name]) for b in asked.column(name).to_pylist()])
+
     def total(name: str) -> np.ndarray:
-        return np.bincount(of, weights=np.concatenate([_unpacked(b, np.float64) for b in asked.column(name).to_pylist()]), minlength=len(distinct))
+        return np.bincount(of, weights=rows(name), minlength=len(distinct))
 
     ch, seen, low, few = map(total, ("ch", "seen", "low", "few"))
     known = ch > 0
     events = np.where(known, ch + (few == 0), 1.0)
     log_a = np.log10(np.where(known, (1 - seen / events) / (1 - np.where(known, low, 0)), 1.0))
-    backed = np.concatenate([_unpacked(b, np.float64) for b in asked.column("backed").to_pylist()]) > 0
+    backed = rows("backed") > 0
     totals = [_packed(x) for x in np.split(events[of], ends[:-1])]
     weights = [_packed(x, np.float64) for x in np.split(np.where(backed, log_a[of], 0.0), ends[:-1])]
-    rows = [[a, b] for a, b in zip(totals, weights, strict=True)] + [[_packed(events[known]), _packed(log_a[known], np.float64)]]
+    answers = [[a, b] for a, b in zip(totals, weights, strict=True)] + [[_packed(events[known]), _packed(log_a[known], np.float64)]]
     m = len(blobs)
     return pa.table(
         {
             "bid": pa.array([*asked.column("bid").to_pylist(), None], pa.int64()),
             "bucket": pa.array([asked.column("bucket")[0].as_py()] * (m + 1), pa.int64()),
-            "keys": pa.array([None] * m + [distinct[known].tobytes()], pa.binary()),
-            "blobs": pa.array(rows, pa.list_(pa.binary())),
+            "keys": pa.array([None] * m + [_packed_keys(distinct[known])], pa.binary()),
+            "blobs": pa.array(answers, pa.list_(pa.binary())),
         }
     )
 
