@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -140,6 +141,40 @@ def wgs84_distance_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column, ro
     return let(given, solve)
 
 
+def vincenty_km(lat1: np.ndarray, lon1: np.ndarray, lat2: np.ndarray, lon2: np.ndarray, rounds: int = 100) -> np.ndarray:
+    """wgs84_distance_km over arrays; rounds go on only for pairs that have not converged."""
+    sine = lambda lat: np.sin(np.arctan((1.0 - WGS84_F) * np.tan(np.radians(lat))))
+    cosine = lambda lat: np.cos(np.arctan((1.0 - WGS84_F) * np.tan(np.radians(lat))))
+    given = np.radians(lon2 - lon1)
+    given = np.arctan2(np.sin(given), np.cos(given))
+    phi1, phi2 = np.radians(lat1), np.radians(lat2)
+    chord = np.sin(0.5 * (phi2 - phi1)) ** 2 + np.cos(phi1) * np.cos(phi2) * np.sin(0.5 * given) ** 2
+    out = MEAN_RADIUS_KM * 2.0 * np.arcsin(np.sqrt(np.minimum(chord, 1.0)))
+    left, lam, all1, all2 = np.arange(len(given)), given, (sine(lat1), cosine(lat1)), (sine(lat2), cosine(lat2))
+    for _ in range(rounds):
+        if not len(left):
+            break
+        (s1, c1), (s2, c2), l0 = (x[left] for x in all1), (x[left] for x in all2), given[left]
+        sl, cl = np.sin(lam), np.cos(lam)
+        ss = np.hypot(c2 * sl, c1 * s2 - s1 * c2 * cl)
+        cs = s1 * s2 + c1 * c2 * cl
+        sigma = np.arctan2(ss, cs)
+        sa = np.divide(c1 * c2 * sl, ss, out=np.zeros_like(ss), where=ss != 0)
+        c2a = 1.0 - sa * sa
+        m = np.where(c2a > 2.220446049250313e-16, cs - 2.0 * s1 * s2 / np.where(c2a > 0, c2a, 1.0), 0.0)
+        c = WGS84_F / 16.0 * c2a * (4.0 + WGS84_F * (4.0 - 3.0 * c2a))
+        new = l0 + (1.0 - c) * WGS84_F * sa * (sigma + c * ss * (m + c * cs * (2.0 * m * m - 1.0)))
+        done = (ss == 0) | (np.abs(new - lam) <= 1e-12)
+        u2 = c2a * (WGS84_A_M**2 - WGS84_B_M**2) / WGS84_B_M**2
+        a = 1.0 + u2 / 16384.0 * (4096.0 + u2 * (-768.0 + u2 * (320.0 - 175.0 * u2)))
+        b = u2 / 1024.0 * (256.0 + u2 * (-128.0 + u2 * (74.0 - 47.0 * u2)))
+        ds = b * ss * (m + 0.25 * b * (cs * (2.0 * m * m - 1.0) - b / 6.0 * m * (4.0 * ss * ss - 3.0) * (4.0 * m * m - 3.0)))
+        km = np.where(ss == 0, 0.0, WGS84_B_M * a * (sigma - ds) / 1000.0)
+        out[left[done]] = km[done]
+        left, lam = left[~done], new[~done]
+    return out
+
+
 def ecef(lat: Column, lon: Column, height_m: Column) -> tuple[Column, Column, Column]:
     """Earth-centred coordinates of WGS84 geodetic points."""
     phi, lam = F.radians(lat), F.radians(lon)

@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
-from math import cos, radians
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quakeweave.functions.geo import enu_km, wgs84_distance_km
-from quakeweave.operators.knn import nearest, pairs_within
+from quakeweave.functions.geo import MEAN_RADIUS_KM, WGS84_A_M, WGS84_E2, ecef, enu_km, vincenty_km, wgs84_distance_km
+from quakeweave.operators.knn import nearest
 from quakeweave.sources.storage import written
 
 NEAR_KM = 2.0
+#: Events in a block, rows of a meeting worked on at a time, the longest chord from which a distance is taken, and how near the limit Vincenty's form decides.
+BLOCK, STRIP, SHORT_KM, SLACK_KM = 1024, 32, 3.0, 1e-6
+PLACES = ["lat", "lon", "depth_km", "tlat", "tlon", "tdepth"]
+BLOCKS = ["block", *[f"lo{k}" for k in range(4)], *[f"hi{k}" for k in range(4)], "ids", "places"]
 
 
 def matched(catalog: DataFrame, truth: DataFrame) -> DataFrame:
@@ -25,29 +32,111 @@ def accuracy(both: DataFrame) -> DataFrame:
     return both.select("event_id", wgs84_distance_km(F.col("tlat"), F.col("tlon"), F.col("lat"), F.col("lon")).alias("horizontal_km"), F.abs(F.col("depth_km") - F.col("tdepth")).alias("depth_km"))
 
 
-def neighbour_pairs(both: DataFrame, near_km: float = NEAR_KM) -> DataFrame:
-    """Pairs whose true separations are both below near_km, with their separations in truth and in the catalog.
+def _surface(lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
+    """Earth-centred kilometres of points on the ellipsoid, a row per axis."""
+    phi, lam = np.radians(lat), np.radians(lon)
+    prime = WGS84_A_M / np.sqrt(1.0 - WGS84_E2 * np.sin(phi) ** 2) / 1000.0
+    return np.stack([prime * np.cos(phi) * np.cos(lam), prime * np.cos(phi) * np.sin(lam), prime * (1.0 - WGS84_E2) * np.sin(phi)])
+
+
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Chords between the columns of a and b."""
+    return np.sqrt(sum((x[:, None] - y[None, :]) ** 2 for x, y in zip(a, b, strict=True)))
 
-    Cells of the truth bound the candidates: a degree of latitude is 110 km or more, one of longitude at latitude
-    b cos(b) times 111 km or more, so cells are a little wider than near_km at the catalog's extreme latitude.
-    """
-    top = both.agg(F.max(F.abs("tlat"))).first()[0] or 0.0
-    across = near_km / (110.0 * max(cos(radians(min(89.0, top + 0.1))), 1e-3))
-    points = both.select("event_id", "tlat", "tlon", "tdepth")
-    ids = pairs_within(points, ["tlat", "tlon", "tdepth"], [near_km / 110.0, across, near_km])
-    cols = ["lat", "lon", "depth_km", "tlat", "tlon", "tdepth"]
-    a = both.select(F.col("event_id").alias("i"), *[F.col(c).alias(f"a_{c}") for c in cols])
-    b = both.select(F.col("event_id").alias("j"), *[F.col(c).alias(f"b_{c}") for c in cols])
-    p = ids.join(a, "i").join(b, "j").filter(F.abs(F.col("a_tdepth") - F.col("b_tdepth")) < near_km)
-    far = lambda *c: wgs84_distance_km(*[F.col(x) for x in c])
-    p = p.withColumn("true_h", far("a_tlat", "a_tlon", "b_tlat", "b_tlon")).filter(F.col("true_h") < near_km)
-    return p.select("i", "j", "true_h", F.abs(F.col("a_tdepth") - F.col("b_tdepth")).alias("true_v"), far("a_lat", "a_lon", "b_lat", "b_lon").alias("out_h"), F.abs(F.col("a_depth_km") - F.col("b_depth_km")).alias("out_v"))
 
+def _along(a: np.ndarray, b: np.ndarray, at_a: np.ndarray, at_b: np.ndarray, chord: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Distances on the ellipsoid: by chords of up to SHORT_KM, and by Vincenty's form for longer ones, where of is true.
 
-def precision(pairs: DataFrame) -> DataFrame:
-    """(event_id, horizontal_km, depth_km, neighbours): root mean square misfit of each event's separations."""
-    ends = pairs.select(F.explode(F.array("i", "j")).alias("event_id"), (F.col("out_h") - F.col("true_h")).alias("h"), (F.col("out_v") - F.col("true_v")).alias("v"))
-    return ends.groupBy("event_id").agg(F.sqrt(F.avg(F.col("h") * F.col("h"))).alias("horizontal_km"), F.sqrt(F.avg(F.col("v") * F.col("v"))).alias("depth_km"), F.count("*").alias("neighbours"))
+    Below SHORT_KM both agree to 1e-8 km, by which Vincenty's ends its rounds.
+    """
+    out = chord + chord * chord * chord * (1.0 / (24.0 * MEAN_RADIUS_KM**2))
+    i, j = np.nonzero(of & (chord > SHORT_KM))
+    out[i, j] = vincenty_km(at_a[0, i], at_a[1, i], at_b[0, j], at_b[1, j])
+    return out
+
+
+def _misfits(a: np.ndarray, b: np.ndarray, ids_a: np.ndarray, ids_b: np.ndarray, same: bool, near_km: float) -> list[tuple[np.ndarray, ...]]:
+    """(event_id, sums of squared horizontal and depth misfits, neighbours) of either block's events; rows of a and b are PLACES."""
+    (ta, tb), (oa, ob) = ([_surface(x[k], x[k + 1]) for x in (a, b)] for k in (3, 0))
+    sums_a, sums_b = np.zeros((3, len(ids_a))), np.zeros((3, len(ids_b)))
+    for k in range(0, len(ids_a), STRIP):
+        s = slice(k, k + STRIP)
+        true_v = np.abs(a[5, s, None] - b[5, None])
+        chord = _apart(ta[:, s], tb)
+        near = (true_v < near_km) & (chord < near_km + SLACK_KM) & (ids_a[s, None] != ids_b[None])
+        if same:
+            near &= np.arange(k, k + len(chord))[:, None] < np.arange(len(ids_b))[None]
+        true_h = _along(ta[:, s], tb, a[3:5, s], b[3:5], chord, near)
+        i, j = np.nonzero(near & (true_h > near_km - SLACK_KM))
+        near[i, j] = vincenty_km(a[3, s][i], a[4, s][i], b[3, j], b[4, j]) < near_km
+        h = _along(oa[:, s], ob, a[0:2, s], b[0:2], _apart(oa[:, s], ob), near) - true_h
+        v = np.abs(a[2, s, None] - b[2, None]) - true_v
+        for row, x in enumerate((np.where(near, h * h, 0.0), np.where(near, v * v, 0.0), near)):
+            sums_a[row, s] += x.sum(axis=1)
+            sums_b[row] += x.sum(axis=0)
+    return [(ids, *sums) for ids, sums in ((ids_a, sums_a), (ids_b, sums_b))]
+
+
+def _blocks(both: DataFrame, near_km: float) -> DataFrame:
+    """(block, lo0.., hi0.., ids, places): events of near places in truth, BLOCK in a row, with the box that bounds them."""
+    x, y, z = ecef(F.col("tlat"), F.col("tlon"), F.lit(0.0))
+    axes = [x / 1000.0, y / 1000.0, z / 1000.0, F.col("tdepth")]
+    p = both.select(F.col("event_id").cast("long").alias("event_id"), *[F.col(c).cast("double").alias(c) for c in PLACES]).dropna()
+    p = p.withColumns({f"c{k}": F.floor(a / (near_km / 4.0)).cast("long") for k, a in enumerate(axes)})
+    order = ["c0", "c1", "c2", "c3", "event_id"]
+
+    def run(batches):
+        n, rest = 0, None
+
+        def rows(t, last):
+            nonlocal n
+            for k in range(0, len(t) if last else len(t) // BLOCK * BLOCK, BLOCK):
+                ids, v = t.column("event_id").to_numpy()[k : k + BLOCK], np.stack([t.column(c).to_numpy()[k : k + BLOCK] for c in PLACES])
+                box = np.vstack([_surface(v[3], v[4]), v[5:6]])
+                ends = [pa.array([e]) for e in (*box.min(axis=1), *box.max(axis=1))]
+                yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() << 32 | n]), *ends, pa.array([ids.tobytes()]), pa.array([v.tobytes()])], names=BLOCKS)
+                n += 1
+
+        for batch in batches:
+            t = pa.table([batch.column(c) for c in ("event_id", *PLACES)], names=["event_id", *PLACES])
+            t = pa.concat_tables([rest, t]) if rest is not None else t
+            yield from rows(t, False)
+            rest = t.slice(len(t) // BLOCK * BLOCK)
+        if rest is not None:
+            yield from rows(rest, True)
+
+    n = both.count()
+    p = p.repartitionByRange(max(1, -(-n // (16 * BLOCK))), *order).sortWithinPartitions(*order).select("event_id", *PLACES)
+    return p.mapInArrow(run, ", ".join([f"{BLOCKS[0]} long", *[f"{c} double" for c in BLOCKS[1:9]], f"{BLOCKS[9]} binary", f"{BLOCKS[10]} binary"]))
+
+
+def precision(both: DataFrame, near_km: float = NEAR_KM) -> DataFrame:
+    """(event_id, horizontal_km, depth_km, neighbours): root mean square misfit of each event's separations.
+
+    Neighbours are events whose true separations are both below near_km.  Their number may go with the square of the
+    events', so no row is made of a pair: blocks of events meet where their boxes are within near_km, and each
+    meeting gives sums by event.
+    """
+    blocks = written(_blocks(both, near_km), "blocks")
+    boxes, number, reach = blocks.select(*BLOCKS[:9]), blocks.count(), near_km + SLACK_KM
+    within = [F.col("a.block") <= F.col("b.block")]
+    within += [(F.col(f"a.lo{k}") <= F.col(f"b.hi{k}") + reach) & (F.col(f"b.lo{k}") <= F.col(f"a.hi{k}") + reach) for k in range(4)]
+    swap = (F.col("a.block") + F.col("b.block")) % 2 == 1
+    met = boxes.alias("a").join(boxes.alias("b"), reduce(lambda x, y: x & y, within))
+    met = met.select(F.when(swap, F.col("b.block")).otherwise(F.col("a.block")).alias("a"), F.when(swap, F.col("a.block")).otherwise(F.col("b.block")).alias("b"))
+    side = lambda s: blocks.select(F.col("block").alias(s), F.col("ids").alias(f"ids_{s}"), F.col("places").alias(f"places_{s}"))
+    tiles = met.join(side("a"), "a").repartition(min(max(1, number), 2000), "b").join(side("b"), "b")
+
+    def run(batches):
+        for batch in batches:
+            for t in batch.to_pylist():
+                ids = [np.frombuffer(t[f"ids_{s}"], np.int64) for s in "ab"]
+                places = [np.frombuffer(t[f"places_{s}"]).reshape(len(PLACES), -1) for s in "ab"]
+                for e, h, v, n in _misfits(*places, *ids, t["a"] == t["b"], near_km):
+                    yield pa.RecordBatch.from_arrays([pa.array(e), pa.array(h), pa.array(v), pa.array(n.astype(np.int64))], names=["event_id", "h", "v", "n"]).filter(pa.array(n > 0))
+
+    sums = tiles.mapInArrow(run, "event_id long, h double, v double, n long").groupBy("event_id").agg(F.sum("h").alias("h"), F.sum("v").alias("v"), F.sum("n").alias("n"))
+    return sums.select(F.col("event_id").cast(both.schema["event_id"].dataType).alias("event_id"), F.sqrt(F.col("h") / F.col("n")).alias("horizontal_km"), F.sqrt(F.col("v") / F.col("n")).alias("depth_km"), F.col("n").alias("neighbours"))
 
 
 def chamfer(a: DataFrame, b: DataFrame) -> float:
@@ -64,7 +153,7 @@ def _enu(both: DataFrame, lat: str, lon: str, depth: str) -> DataFrame:
 def event_errors(catalog: DataFrame, truth: DataFrame) -> DataFrame:
     """EventID and its four errors and number of true neighbours."""
     both = written(matched(catalog, truth), "matched")
-    a, p = accuracy(both), precision(neighbour_pairs(both))
+    a, p = accuracy(both), precision(both)
     return a.toDF("event_id", "ah", "ad").join(p, "event_id").select(
         F.col("event_id").alias("EventID"), F.col("ah").alias("horizontal_accuracy_error_km"), F.col("ad").alias("depth_accuracy_error_km"),
         F.col("horizontal_km").alias("horizontal_precision_error_km"), F.col("depth_km").alias("depth_precision_error_km"), F.col("neighbours").alias("truth_neighbor_count"),

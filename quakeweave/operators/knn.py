@@ -91,13 +91,3 @@ def undirected(directed: DataFrame, mutual: bool = True) -> DataFrame:
     ends = directed.select(F.least("source", "target").alias("i"), F.greatest("source", "target").alias("j"), "dist")
     pairs = ends.groupBy("i", "j").agg(F.min("dist").alias("dist"), F.count("*").alias("n"))
     return (pairs.filter("n = 2") if mutual else pairs).select("i", "j", "dist")
-
-
-def pairs_within(points: DataFrame, axes: list[str], width: list[float]) -> DataFrame:
-    """(i, j), i < j, of points in the same or touching cells: every pair closer than width on each axis, and some more."""
-    p = points.select("event_id", *axes, *[F.floor(F.col(a) / w).cast("long").alias(f"c{k}") for k, (a, w) in enumerate(zip(axes, width, strict=True))])
-    q = p
-    for k in range(len(axes)):
-        q = q.withColumn("_o", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))).withColumn(f"c{k}", F.col(f"c{k}") + F.col("_o")).drop("_o")
-    on = [F.col(f"a.c{k}") == F.col(f"b.c{k}") for k in range(len(axes))]
-    return q.alias("a").join(p.alias("b"), on).filter("a.event_id < b.event_id").select(F.col("a.event_id").alias("i"), F.col("b.event_id").alias("j"))

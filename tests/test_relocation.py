@@ -2,6 +2,7 @@
 
 import math
 import os
+import time
 
 import numpy as np
 import pandas as pd
@@ -369,3 +370,35 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).columns and set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
     assert catalogue.QUERIES["theta_groups"](spark, DATA).count() == 150
+
+
+def test_precision_by_blocks_equals_all_pairs(spark, monkeypatch):
+    """Blocks of a few events, across the antimeridian and about a pole, with outputs near and far, against Vincenty's over all pairs."""
+    monkeypatch.setattr(compare, "BLOCK", 7)
+    rng, n = np.random.default_rng(3), 120
+    tlat, tlon, tdepth = rng.normal(10, 0.012, n), 180 + rng.normal(0, 0.012, n), rng.normal(5, 1.2, n)
+    tlat[80:] = 90 - np.abs(rng.normal(0, 0.01, 40))
+    tlon[80:] = rng.uniform(-180, 180, 40)
+    tlon = np.where(tlon > 180, tlon - 360, tlon)
+    lat, lon, depth = np.clip(tlat + rng.normal(0, 0.02, n), -90, 90), tlon + rng.normal(0, 0.02, n), tdepth + rng.normal(0, 0.3, n)
+    both = pd.DataFrame({"event_id": rng.permutation(n) + 1, "lat": lat, "lon": lon, "depth_km": depth, "tlat": tlat, "tlon": tlon, "tdepth": tdepth})
+    out = {r["event_id"]: (r["horizontal_km"], r["depth_km"], r["neighbours"]) for r in compare.precision(spark.createDataFrame(both)).collect()}
+    i, j = (~np.eye(n, dtype=bool)).nonzero()
+    pairs = pd.DataFrame({"i": i, "j": j, **{f"{c}_{s}": both[c].to_numpy()[k] for c in both.columns for s, k in (("a", i), ("b", j))}})
+    far = lambda p: geo.wgs84_distance_km(*[F.col(f"{p}{c}_{s}") for s in "ab" for c in ("lat", "lon")])
+    pairs = spark.createDataFrame(pairs).withColumns({"th": far("t"), "oh": far("")}).toPandas()
+    tv, ov = np.abs(pairs.tdepth_a - pairs.tdepth_b), np.abs(pairs.depth_km_a - pairs.depth_km_b)
+    pairs["h"], pairs["v"] = (pairs.oh - pairs.th) ** 2, (ov - tv) ** 2
+    pairs = pairs[(pairs.th < 2) & (tv < 2)]
+    assert (np.abs(np.diff(np.sign(pairs[["tlon_a", "tlon_b"]]), axis=1)) > 0).any() and (pairs.oh > compare.SHORT_KM).any()
+    want = pairs.groupby("event_id_a").agg(h=("h", "mean"), v=("v", "mean"), n=("h", "size"))
+    assert set(out) == set(want.index)
+    for e, (h, v, k) in out.items():
+        assert k == want.n[e] and h == pytest.approx(math.sqrt(want.h[e]), abs=1e-7) and v == pytest.approx(math.sqrt(want.v[e]), abs=1e-9)
+
+
+def test_event_errors_of_many_neighbours_end(spark):
+    """All 1500 events of sf0.1 lie within a few kilometres: a million pairs, which took minutes as rows."""
+    start = time.monotonic()
+    n = catalogue.catalog_event_errors(spark, "/root/testdata/sf0.1").agg(F.count("*"), F.sum("truth_neighbor_count")).first()
+    assert n[0] == 1500 and n[1] > 500_000 and time.monotonic() - start < 60
