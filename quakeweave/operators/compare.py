@@ -152,7 +152,10 @@ def _enu(both: DataFrame, lat: str, lon: str, depth: str) -> DataFrame:
 
 def event_errors(catalog: DataFrame, truth: DataFrame) -> DataFrame:
     """EventID and its four errors and number of true neighbours."""
-    both = written(matched(catalog, truth), "matched")
+    return _errors(written(matched(catalog, truth), "matched"))
+
+
+def _errors(both: DataFrame) -> DataFrame:
     a, p = accuracy(both), precision(both)
     return a.toDF("event_id", "ah", "ad").join(p, "event_id").select(
         F.col("event_id").alias("EventID"), F.col("ah").alias("horizontal_accuracy_error_km"), F.col("ad").alias("depth_accuracy_error_km"),
@@ -165,7 +168,7 @@ def compare_catalogs(catalog: DataFrame, truth: DataFrame) -> DataFrame:
     both = written(matched(catalog, truth), "matched")
     if both.count() != catalog.count():
         raise ValueError("catalog ids must be rows of the truth, each once")
-    errors = written(event_errors(catalog, truth), "errors")
+    errors = written(_errors(both), "errors")
     if errors.count() != both.count():
         raise ValueError("an event has no true neighbour within the limits")
     apart = chamfer(_enu(both, "lat", "lon", "depth_km"), _enu(both, "tlat", "tlon", "tdepth"))

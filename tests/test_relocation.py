@@ -402,3 +402,10 @@ def test_event_errors_of_many_neighbours_end(spark):
     start = time.monotonic()
     n = catalogue.catalog_event_errors(spark, "/root/testdata/sf0.1").agg(F.count("*"), F.sum("truth_neighbor_count")).first()
     assert n[0] == 1500 and n[1] > 500_000 and time.monotonic() - start < 60
+
+
+def test_metrics_of_many_neighbours_end(spark):
+    """The same million pairs, whose number the row of metrics gives."""
+    start = time.monotonic()
+    m = catalogue.catalog_metrics(spark, "/root/testdata/sf0.1").first()
+    assert m["events"] == 1500 and m["neighboring_pairs"] > 500_000 and time.monotonic() - start < 90
