@@ -4,8 +4,8 @@ Each rule looks at one measure of the whole text and votes for clean (+1), again
 (-1) or abstains (0).  The votes of all documents are counted by pattern (at most
 3 to the number of rules), and expectation-maximisation over those counts estimates
 each rule's accuracy and the share of clean documents; a document's posterior
-probability of being clean replaces all-must-pass filtering.  Only DataFrame
-functions are used, per row and per pattern.
+probability of being clean replaces all-must-pass filtering.  Rows see DataFrame
+functions only; the estimation works on the counts, on the driver.
 
 A null or empty text has no words, and fails the base rule of 50 words.  Equal rows
 get equal results.  An empty table gives no rows (and keeps the starting accuracies).
@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -106,22 +107,25 @@ def estimate(votes: DataFrame, names: list[str], rounds: int = ROUNDS) -> tuple[
 
     votes has a row per pattern with its count n.  A rule that votes alike for both kinds so
     gets no weight, whatever it votes; its accuracies are model[rule][1][0] and model[rule][-1][1].
+    The patterns, 3 to the number of rules at most, are read once: rounds as queries would each
+    leave the driver a plan and classes of its own.
     """
     model, prior = {name: dict(START) for name in names}, PRIOR
-    for _ in range(rounds):
-        p = _posterior(names, model, prior)
-        sums = [F.sum(F.col("n") * p).alias("clean"), F.sum("n").alias("all")]
+    rows = sorted(votes.select(*names, "n").collect())
+    n, total = np.array([r["n"] for r in rows], float), sum(r["n"] for r in rows)
+    here = {name: {v: np.array([r[name] == v for r in rows], bool) for v in (1, 0, -1)} for name in names}
+    for _ in range(rounds if total else 0):
+        odds = np.full(len(rows), math.log(prior / (1 - prior)))
         for name in names:
-            for v in (1, 0, -1):
-                here = F.col("n") * (F.col(name) == v).cast("double")
-                sums += [F.sum(here * p).alias(f"c{v}{name}"), F.sum(here).alias(f"a{v}{name}")]
-        row = votes.agg(*sums).first()
-        if not row["all"]:
-            break
-        clean, junk = row["clean"], row["all"] - row["clean"]
+            for v, (of_clean, of_junk) in model[name].items():
+                odds[here[name][v]] += math.log(of_clean / of_junk)
+        of_pattern = n / (1 + np.exp(-odds))
+        clean = float(of_pattern.sum())
+        junk = total - clean
         for name in names:
-            model[name] = {v: ((row[f"c{v}{name}"] + 1) / (clean + 3), (row[f"a{v}{name}"] - row[f"c{v}{name}"] + 1) / (junk + 3)) for v in (1, 0, -1)}
-        prior = min(0.99, max(0.01, clean / row["all"]))
+            sums = {v: (float(of_pattern[at].sum()), float(n[at].sum())) for v, at in here[name].items()}
+            model[name] = {v: ((c + 1) / (clean + 3), (every - c + 1) / (junk + 3)) for v, (c, every) in sums.items()}
+        prior = min(0.99, max(0.01, clean / total))
     return model, prior
 
 

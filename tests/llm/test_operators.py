@@ -127,6 +127,19 @@ def test_quality_estimates_accuracies(spark):
     assert abs(model["always"][1][0] - model["always"][1][1]) < 0.01  # what votes alike for all has no weight
 
 
+def test_quality_estimates_in_one_query(spark):
+    """Rounds as queries each left the driver a plan and classes of its own."""
+    df = spark.createDataFrame([(1, 1, 70), (1, 0, 20), (-1, -1, 30)], "a int, b int, n long")
+    spark.sparkContext.setJobGroup("quality-estimate", "")
+    try:
+        model, prior = quality.estimate(df, ["a", "b"])
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("quality-estimate")) <= 2
+    assert 0.6 < prior < 0.9 and model["a"][1][0] > model["a"][1][1]
+    assert quality.estimate(df.limit(0), ["a", "b"]) == ({"a": quality.START, "b": quality.START}, quality.PRIOR)
+
+
 def test_mixing(docs, rows):
     mixed = mixing.mix(docs, block=16)
     got = mixing.taken(mixed).collect()
